@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, html, minhash, mixing, quality_model, rules, toxicity
+from folio.llm import decontaminate, html, lines, minhash, mixing, quality_model, rules, suffix, toxicity, warc
 from folio.llm.common import held_out
 
 
@@ -33,14 +33,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_model.score(docs.select("doc_id", "text"), model).drop("text"), 0.5)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rated(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_gone", "n_links", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,5 +62,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_quality, op5_rules, op7_html, op9_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_quality, op4_warc, op5_rules, op6_suffix, op7_html, op8_lines, op9_decontaminate, op10_mixing)}
 ORACLES = {"op10_mixing": mixing.SQL}
