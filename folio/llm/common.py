@@ -12,7 +12,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that they need no copy of the repository."""
+    context = spark.sparkContext
+    if not getattr(context, "_folio_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        at = Path(tempfile.mkdtemp(prefix="folio-code-")) / "folio.zip"
+        with zipfile.ZipFile(at, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(at))
+        context._folio_shipped = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what Arrow hands to Python at once, in rows and in bytes, so that long texts fit a worker's memory."""
+    """Ships the code and bounds what Arrow hands to Python at once, in rows and in bytes, so that long texts fit a worker's memory."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
