@@ -56,7 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote; no plan over it may run from then on."""
+    _remove(df.sparkSession, df._folio_path)
 
 
 def shipped(spark: SparkSession) -> None:

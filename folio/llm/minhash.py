@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, mix, shingle_sets, stored, text_blocks
+from folio.llm.common import bounded_batches, discard, mix, shingle_sets, stored, text_blocks
 from folio.llm.components import components
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
@@ -199,13 +199,14 @@ def _sharing_rare(docs: DataFrame, rest: DataFrame) -> DataFrame:
     one must hold the ceil(3/7 (|x| + |y|)) shingles that the link needs.
     """
     each = docs.join(rest, "doc_id").select("doc_id", "text", "root").mapInArrow(_exploded, "doc_id long, root long, n long, shingle long")
-    each = stored(each.dropDuplicates(["doc_id", "shingle"]), "shingles")
+    each = stored(each, "shingles")
     shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("doc_id")
     ranked = each.join(shared, "shingle").select(
         "doc_id", "root", "n", "shingle", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1).alias("at")
     )
     probes = stored(ranked.where("at < n - ceil(3 * n / 4) + 1"), "prefixes")
+    discard(each)
     x, y = probes.alias("x"), probes.where("at < n - ceil(6 * n / 7) + 1").alias("y")
     smaller = F.expr("y.n < x.n or y.n = x.n and y.doc_id < x.doc_id")
     enough = F.expr("4 * y.n >= 3 * x.n and 7 * least(x.n - x.at, y.n - y.at) >= 3 * (x.n + y.n)")
@@ -215,7 +216,9 @@ def _sharing_rare(docs: DataFrame, rest: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that the full sets link."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, own binary").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, own binary"), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x_set")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y_set")), "b")
-    return stored(both.select("a", "b", "x_set", "y_set").mapInArrow(_confirmed, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+    out = stored(both.select("a", "b", "x_set", "y_set").mapInArrow(_confirmed, "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "links")
+    discard(sets)
+    return out
