@@ -8,7 +8,6 @@ allows. Pairs that meet are verified by a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, mix, span_hashes, stored, text_blocks
+from folio.llm.common import bounded_batches, mix, span_hashes, stored, text_blocks, words
 from folio.llm.components import components
 
 EDITS = 2
 #: Shorter lines (in code points) are equal or different; their segments would be too short to tell lines apart.
 LEAST = 24
-_SPACE = " \t\n\x0b\x0c\r"
 
 
 def within(a: str, b: str, most: int = EDITS) -> bool:
@@ -77,33 +75,117 @@ def line_list(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def _key(line: str) -> tuple[int, int]:
-    d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+#: A bit by lead byte; the bytes that continue a code point have none.
+_BAG = np.left_shift(np.uint64(1), mix(np.arange(256, dtype=np.uint64)) & np.uint64(63))
+_BAG[0x80:0xC0] = 0
+#: log2 of the bits of the filters, whose size doesn't depend on the data.
+BITS = 27
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for k, line in enumerate(line_list(text)):
-                if line := line.strip(_SPACE):
-                    h, g = _key(line)
-                    out[0].append(doc), out[1].append(k), out[2].append(h), out[3].append(g)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "line_no", "h", "g"])
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, start, end) of the lines with a word, stripped of blanks."""
+    starts, ends, first = words(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts)  # counted through the block
+    head = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])))) if len(starts) else np.zeros(0, int)
+    tail = np.append(head[1:], len(starts)) - 1
+    return row[head], line[head] - np.searchsorted(breaks, offsets[:-1])[row[head]], starts[head], ends[tail]
+
+
+class _Long:
+    """The lines of a block that are long enough to be alike without being equal."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        begin, stop = np.searchsorted(lead, start), np.searchsorted(lead, end)
+        keep = stop - begin >= LEAST
+        self.data, self.h = data, h[keep]
+        self.begin, self.length = begin[keep], (stop - begin)[keep]
+        self.at = np.append(lead, len(data))  # byte of each code point
+        self.from_, self.to = start[keep], end[keep]
+
+    def keys(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+        a = self.begin[rows] + start
+        own = span_hashes(self.data, self.at[a], self.at[a + size])
+        return mix(own + mix(of.astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(k)))
+
+    def bags(self) -> np.ndarray:
+        if not len(self.h):
+            return np.zeros(0, np.uint64)
+        ends = np.stack([self.from_, self.to], 1).ravel()
+        return np.bitwise_xor.reduceat(np.append(_BAG[self.data], np.uint64(0)), ends)[::2]
 
 
-def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ROWS = "kind byte, a long, b long, c long"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of lines (kind 0: doc_id, line number, h) and index entries (kind 1: key, h, bag)."""
     for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        for text, numbers in zip(batch.column("text").to_pylist(), batch.column("numbers").to_pylist(), strict=True):
-            lines = line_list(text)
-            for k in numbers:
-                line = lines[k].strip(_SPACE)
-                if len(line) >= LEAST:
-                    h, g = _key(line)
-                    out[0].append(h), out[1].append(g), out[2].append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["h", "g", "line"])
+        for first, data, offsets in text_blocks(batch):
+            row, number, start, end = _spans(data, offsets)
+            h = span_hashes(data, start, end)
+            ids = np.asarray(batch.column("doc_id").fill_null(-1))[row + first]
+            long_ = _Long(data, start, end, h)
+            rows, bags = np.arange(len(long_.h)), long_.bags().view(np.int64)
+            keys = [long_.keys(rows, at, size, long_.length, k).view(np.int64) for k, (at, size) in enumerate(segments(long_.length))]
+            new, where = np.unique(long_.h, return_index=True)
+            del new
+            a = np.concatenate([ids, *(x[where] for x in keys)])
+            b = np.concatenate([number, *[long_.h.view(np.int64)[where]] * len(keys)])
+            c = np.concatenate([h.view(np.int64), *[bags[where]] * len(keys)])
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(ids)).astype(np.int8)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
+
+
+def _test(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((filter_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the slots that the column key has; at most 2 ** (BITS - 5) rows reach the driver."""
+    slot = F.shiftrightunsigned("key", 64 - BITS)
+    got = keys.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {64 - BITS}) % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 5), np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint32)
+    return out
+
+
+def _probing(once: np.ndarray, twice: np.ndarray):
+    """Probes (key, h, bag) that the filters of index keys, and of those of several lines, let pass."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch):
+                _, _, start, end = _spans(data, offsets)
+                lines = _Long(data, start, end, span_hashes(data, start, end))
+                bags = lines.bags()
+                keys, rows = [], []
+                for less, k, own, at, size in probes(lines.length):
+                    key = lines.keys(own, at, size, lines.length[own] - less, k)
+                    itself = (at == segments(lines.length[own])[k][0]) if not less else np.zeros(len(own), bool)
+                    ok = np.where(itself, _test(twice, key), _test(once, key))
+                    keys.append(key[ok]), rows.append(own[ok])
+                key, own = np.concatenate(keys), np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[own]), pa.array(bags.view(np.int64)[own])], ["key", "h", "bag"])
+
+    return probe
+
+
+def _has_line(wanted: np.ndarray):
+    """The wanted lines (h, line), by a filter of their hashes."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch):
+                _, _, start, end = _spans(data, offsets)
+                h = span_hashes(data, start, end)
+                at = np.flatnonzero(_test(wanted, h))
+                at = at[np.unique(h[at], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at], end[at], strict=True)], pa.string())], ["h", "line"])
+
+    return pick
 
 
 def segments(length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -134,49 +216,28 @@ def probes(length: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
                 yield less, k, rows[ok], at[ok], size[ok]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, side, h, bag) of index (0) and probe (1) entries; bag has the parity of each code point's count, mod 64."""
-    for batch in batches:
-        for row, data, offsets in text_blocks(batch, "line"):
-            text = data.tobytes().decode("utf-8", "surrogatepass")
-            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            begin = lead[offsets]
-            length = np.diff(begin)
-            bag = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mix(points.astype(np.uint64)) & np.uint64(63)), begin[:-1])
-            wide = points.astype(np.uint32)
-            parts = []
-            for k, (start, size) in enumerate(segments(length)):
-                parts.append((0, np.arange(len(length)), begin[:-1] + start, size, length, k))
-            for less, k, rows, start, size in probes(length):
-                parts.append((1, rows, begin[:-1][rows] + start, size, length[rows] - less, k))
-            ids = np.asarray(batch.column("h").slice(row, len(length)))
-            out_key, out_side, out_row = [], [], []
-            for side, rows, start, size, of, k in parts:
-                key = mix(span_hashes(wide, start, start + size) + mix(of.astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(k)))
-                out_key.append(key), out_side.append(np.full(len(rows), side, np.int8)), out_row.append(rows)
-            rows = np.concatenate(out_row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_key).view(np.int64)), pa.array(np.concatenate(out_side)), pa.array(ids[rows]), pa.array(bag.view(np.int64)[rows])], ["key", "side", "h", "bag"]
-            )
-
-
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [within(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b): hashes h of the different lines at most EDITS edits apart. firsts has doc_id, line_no of one place of each line."""
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list("line_no").alias("numbers"))
-    picked = docs.join(wanted, "doc_id").select("text", "numbers").mapInArrow(_picked, "h long, g long, line string")
-    lines = stored(picked.dropDuplicates(["h"]), "lines")
-    keys = stored(lines.select("h", "line").mapInArrow(_keys, "key long, side byte, h long, bag long"), "keys")
-    x, y = keys.where("side = 0").alias("x"), keys.where("side = 1").alias("y")
+def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b): hashes h of the different lines at most EDITS edits apart; index has key, h and bag of all lines.
+
+    Probes go to the join only if a filter of fixed size says that another line may have their key. The text of
+    the lines that meet is fetched by such a filter too; both joins are exact.
+    """
+    index = stored(index.distinct(), "index")
+    kinds = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    once, twice = _filter(index), _filter(kinds.where("lo <> hi"))
+    x, y = index.alias("x"), docs.mapInArrow(_probing(once, twice), "key long, h long, bag long").distinct().alias("y")
     # an edit changes the parity of two code points at most
     met = x.join(y, F.expr(f"x.key = y.key and x.h <> y.h and bit_count(x.bag ^ y.bag) <= {2 * EDITS}"))
     pairs = stored(met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    lines = docs.mapInArrow(_has_line(_filter(ends)), "h long, line string").join(ends.withColumnRenamed("key", "h"), "h", "left_semi")
+    lines = stored(lines.groupBy("h").agg(F.min("line").alias("line")), "lines")
     left = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(_checked, "a long, b long"), "links")
@@ -207,9 +268,9 @@ def deduplicated(docs: DataFrame, scope: str = "corpus") -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_gone", "n_links", "gone")]
     docs = docs.select(*own)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = stored(slim.mapInArrow(_lines, "doc_id long, line_no long, h long, g long"), "places")
-    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("at.*")
-    links = line_links(slim, firsts)
+    rows = stored(slim.mapInArrow(_placed, _ROWS), "places")
+    lines = rows.where("kind = 0").selectExpr("a AS doc_id", "b AS line_no", "c AS h")
+    links = line_links(slim, rows.where("kind = 1").selectExpr("a AS key", "b AS h", "c AS bag"))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     near = stored(components(links).withColumnRenamed("node", "h").join(degree, "h"), "classes")
     placed = lines.join(near, "h", "left").select("doc_id", "line_no", F.coalesce("root", "h").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
