@@ -144,7 +144,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for each span of bytes or code points; starts must not decrease. Works through long data in pieces."""
+    """Hashes of data[start:end] for each span; starts must not decrease. Works through long data in pieces."""
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -155,14 +155,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             j = max(i + 1, i + int(np.argmax(np.maximum.accumulate(ends[i:j]) > base + 2 * BLOCK)))
             top = int(ends[i:j].max())
         sums = np.zeros(top - base + 1, np.uint64)
-        values = _TABLE[data[base:top]] if data.dtype == np.uint8 else mix(data[base:top].astype(np.uint64) + np.uint64(1))
-        np.cumsum(values * _power(_P, top - base)[: top - base], out=sums[1:])
+        np.cumsum(_TABLE[data[base:top]] * _power(_P, top - base)[: top - base], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = mix((sums[e] - sums[s]) * _power(_P_INVERSE, top - base + 1)[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
 
+class SpanHasher:
+    """span_hashes() of one block, many times: the sums over its bytes are made once."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data, self.sums = data, None
+        if len(data) <= 2 * BLOCK:
+            self.sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_TABLE[data] * _power(_P, len(data))[: len(data)], out=self.sums[1:])
+            self.back = _power(_P_INVERSE, len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.sums is None:
+            return span_hashes(self.data, starts, ends)
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII blanks) of each row, and the first word of each row."""
     solid = ~_BLANK[data]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, mix, span_hashes, stored, text_blocks, words
+from folio.llm.common import SpanHasher, bounded_batches, mix, span_hashes, stored, text_blocks, words
 from folio.llm.components import components
 
 EDITS = 2
@@ -96,18 +96,18 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Long:
     """The lines of a block that are long enough to be alike without being equal."""
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, hashed: SpanHasher, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         begin, stop = np.searchsorted(lead, start), np.searchsorted(lead, end)
         keep = stop - begin >= LEAST
-        self.data, self.h = data, h[keep]
+        self.data, self.hashed, self.h = data, hashed, h[keep]
         self.begin, self.length = begin[keep], (stop - begin)[keep]
         self.at = np.append(lead, len(data))  # byte of each code point
         self.from_, self.to = start[keep], end[keep]
 
     def keys(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
         a = self.begin[rows] + start
-        own = span_hashes(self.data, self.at[a], self.at[a + size])
+        own = self.hashed(self.at[a], self.at[a + size])
         return mix(own + mix(of.astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(k)))
 
     def bags(self) -> np.ndarray:
@@ -125,9 +125,10 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in text_blocks(batch):
             row, number, start, end = _spans(data, offsets)
-            h = span_hashes(data, start, end)
+            hashed = SpanHasher(data)
+            h = hashed(start, end)
             ids = np.asarray(batch.column("doc_id").fill_null(-1))[row + first]
-            long_ = _Long(data, start, end, h)
+            long_ = _Long(data, hashed, start, end, h)
             rows, bags = np.arange(len(long_.h)), long_.bags().view(np.int64)
             keys = [long_.keys(rows, at, size, long_.length, k).view(np.int64) for k, (at, size) in enumerate(segments(long_.length))]
             new, where = np.unique(long_.h, return_index=True)
@@ -159,7 +160,10 @@ def _probing(once: np.ndarray, twice: np.ndarray):
         for batch in batches:
             for _, data, offsets in text_blocks(batch):
                 _, _, start, end = _spans(data, offsets)
-                lines = _Long(data, start, end, span_hashes(data, start, end))
+                hashed = SpanHasher(data)
+                h = hashed(start, end)
+                new = np.sort(np.unique(h, return_index=True)[1])  # a line that the block repeats probes once
+                lines = _Long(data, hashed, start[new], end[new], h[new])
                 bags = lines.bags()
                 keys, rows = [], []
                 for less, k, own, at, size in probes(lines.length):
