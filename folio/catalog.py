@@ -1,4 +1,430 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, and the same in SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions.text import FIGURE_QUERY, normalized_label, terms  # noqa: F401
+from folio.operators import answer, captions, graph, images, outline, search
+from folio.plans import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL of the shared steps ---------------------------------------------------
+
+_CARRIED = (
+    views.RAW_LINES
+    + r""",
+tagged AS (SELECT *, try_cast(nullif(regexp_extract(line, '\[\[PAGE_(\d+)\]\]', 1), '') AS BIGINT) AS tag FROM raw_lines),
+carried AS (SELECT doc_id, line_no, line, coalesce(last_value(tag IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 1) AS page, tag AS own FROM tagged),
+pages_of AS (SELECT doc_id, line_no, line, page FROM carried WHERE own IS NULL)"""
+)
+_HEADS = (
+    _CARRIED
+    + r""",
+sectioned AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS seq FROM (
+    SELECT *, length(regexp_extract(line, '^(#{1,6})\s+(.*)$', 1)) AS level, trim(regexp_extract(line, '^(#{1,6})\s+(.*)$', 2), ' ' || chr(9) || chr(13)) AS title FROM pages_of))"""
+)
+_NODES = (
+    _HEADS
+    + r""",
+first_head AS (SELECT doc_id, line_no AS first_no FROM sectioned WHERE seq = 1 AND level > 0),
+root_end AS (SELECT t.doc_id, max_by(t.tag, t.line_no) AS root_end FROM tagged t LEFT JOIN first_head USING (doc_id) WHERE t.tag IS NOT NULL AND (first_no IS NULL OR t.line_no < first_no) GROUP BY 1),
+bodies AS (SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY line_no) AS content FROM sectioned WHERE level = 0 AND regexp_matches(line, '\S') GROUP BY 1, 2),
+every AS (
+    SELECT d.doc_id, 0::BIGINT AS seq, 0::BIGINT AS level, 'Document Header / Introduction' AS title, 1::BIGINT AS page_start, coalesce(root_end, 1) AS page_end0 FROM (SELECT DISTINCT doc_id FROM raw_lines) d LEFT JOIN root_end USING (doc_id)
+    UNION ALL SELECT doc_id, seq, level, title, page, page FROM sectioned WHERE level > 0),
+nodes AS (SELECT e.doc_id, e.seq, printf('%04d', e.seq) AS node_id, e.level, e.title, e.page_start, e.page_end0, coalesce(content, '') AS content FROM every e LEFT JOIN bodies b ON e.doc_id = b.doc_id AND e.seq = b.seq),
+parented AS (SELECT n.*, (SELECT max(m.seq) FROM nodes m WHERE m.doc_id = n.doc_id AND m.seq < n.seq AND m.level < n.level) AS parent_seq FROM nodes n)"""
+)
+_RANGES = (
+    _NODES
+    + r""",
+sibling AS (SELECT *, lead(page_start) OVER (PARTITION BY doc_id, parent_seq ORDER BY seq) AS next_start FROM parented),
+ranged AS (
+    SELECT doc_id, seq, 0 AS depth, page_end0 AS page_end FROM sibling WHERE seq = 0
+    UNION ALL SELECT s.doc_id, s.seq, r.depth + 1, greatest(s.page_start, coalesce(s.next_start, r.page_end)) FROM sibling s JOIN ranged r ON s.doc_id = r.doc_id AND s.parent_seq = r.seq),
+outline AS (SELECT p.*, r.depth, r.page_end FROM parented p JOIN ranged r ON p.doc_id = r.doc_id AND p.seq = r.seq)"""
+)
+_TERMS = r"list_filter(regexp_extract_all(lower({0}), '[a-z](?:-[a-z0-9]+)+|[a-z0-9]+'), lambda x: (length(x) > 2 OR contains(x, '-')) AND x NOT IN ('what','is','the','a','an','of','and','in','to','about','for','on','with','how','are','does','do','can','this','that','it','be','was','were','has','have','had'))"
+_BM25 = f"""{_RANGES}, {views.QUESTIONS},
+entries AS (SELECT doc_id, seq, title, content FROM outline),
+counts AS (SELECT doc_id, seq, term, sum(w) AS tf FROM (
+    SELECT doc_id, seq, unnest({_TERMS.format("title")}) AS term, 3 AS w FROM entries UNION ALL SELECT doc_id, seq, unnest({_TERMS.format("content")}), 1 FROM entries) GROUP BY 1, 2, 3),
+sizes AS (SELECT doc_id, count(*) AS n FROM entries GROUP BY 1),
+raws AS (SELECT doc_id, term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM counts JOIN sizes USING (doc_id) GROUP BY 1, 2),
+idfs AS (SELECT doc_id, term, df, CASE WHEN raw < 0 THEN 0.25 * (sum(raw) OVER (PARTITION BY doc_id) / count(*) OVER (PARTITION BY doc_id)) ELSE raw END AS idf FROM raws),
+lengths AS (SELECT doc_id, seq, sum(tf) AS dl FROM counts GROUP BY 1, 2),
+means AS (SELECT doc_id, sum(dl)::DOUBLE / any_value(n) AS avgdl FROM lengths JOIN sizes USING (doc_id) GROUP BY 1),
+asked AS (SELECT query_id, doc_id, term, count(*) AS qtf FROM (SELECT query_id, doc_id, unnest({_TERMS.format("query")}) AS term FROM questions) GROUP BY 1, 2, 3),
+scored AS (SELECT query_id, doc_id, seq, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM asked JOIN idfs USING (doc_id, term) JOIN counts USING (doc_id, term) JOIN lengths USING (doc_id, seq) JOIN means USING (doc_id) GROUP BY 1, 2, 3),
+topped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM scored WHERE score > 0),
+found AS (SELECT query_id, doc_id, seq, score FROM topped WHERE rank = 1 OR rank = 2 AND score >= 0.5 * top),
+hits AS (SELECT * FROM found UNION ALL SELECT query_id, doc_id, 0, 0.0 FROM questions WHERE query_id NOT IN (SELECT query_id FROM found))"""
+_CAPTIONS = (
+    views.PAGED_MD
+    + r""",
+caps AS (SELECT doc_id, page, unnest(regexp_extract_all(md, '((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?[.:]\s*[^\n]{5,120})', 1, 'i')) AS cap, generate_subscripts(regexp_extract_all(md, '((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?[.:]\s*[^\n]{5,120})', 1, 'i'), 1) - 1 AS cap_pos FROM paged_md),
+labelled AS (SELECT doc_id, page, cap_pos::BIGINT AS cap_pos, regexp_extract(trim(cap), '^((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?)', 1, 'i') AS label, trim(cap) AS full_caption FROM caps),
+captions AS (SELECT *, regexp_replace(lower(label), '[.\s]', '', 'g') AS normalized FROM labelled)"""
+)
+_MATCHED = (
+    _CAPTIONS
+    + ","
+    + views.IMAGES
+    + r""",
+dealt AS (SELECT c.*, CASE WHEN normalized LIKE 'fig%' THEN 'fig' WHEN normalized LIKE 'table%' THEN 'table' END AS kind, unnest([page - 1, page]) AS target FROM captions c),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, target, kind ORDER BY page, cap_pos) - 1 AS img_pos FROM dealt WHERE kind IS NOT NULL),
+matched AS (SELECT i.doc_id, i.page, i.img_pos, coalesce(f.label, t.label, '') AS label, coalesce(f.full_caption, t.full_caption, 'Aucune légende trouvée') AS caption, coalesce(f.normalized, t.normalized, '') AS normalized_label
+    FROM images i LEFT JOIN placed f ON f.kind = 'fig' AND f.doc_id = i.doc_id AND f.target = i.page AND f.img_pos = i.img_pos
+    LEFT JOIN placed t ON t.kind = 'table' AND t.doc_id = i.doc_id AND t.target = i.page AND t.img_pos = i.img_pos)"""
+)
+_CLAIMS = (
+    _RANGES
+    + ","
+    + views.IMAGES
+    + """,
+large AS (SELECT * FROM images WHERE b64_len >= 5000),
+claims AS (SELECT l.doc_id, l.page, l.img_pos, min(o.seq) AS seq FROM large l JOIN outline o ON o.doc_id = l.doc_id AND l.page BETWEEN o.page_start AND o.page_end GROUP BY 1, 2, 3)"""
+)
+
+
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.outline(views.raw_lines(spark, sf_dir))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.matched(views.images(spark, sf_dir), captions.mined(views.paged_markdown(spark, sf_dir)))
+
+
+def _figured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the caption-injected markdown: each page is a heading of its number."""
+    pages = captions.injected(views.paged_markdown(spark, sf_dir), _matched(spark, sf_dir))
+    return pages.select("doc_id", F.col("page").alias("seq"), F.format_string("%04d", "page").alias("node_id"), F.lit(1).cast("long").alias("level"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.col("md").alias("content"), F.lit(None).cast("long").alias("parent_seq"))
+
+
+def _figure_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.turns(spark, sf_dir).select("doc_id").distinct()
+    return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.concat(F.lit("explain figure "), (F.col("doc_id") % 4 + 1).cast("string")).alias("query"))
+
+
+_INJECTED = (
+    _MATCHED
+    + r""",
+own AS (SELECT doc_id, page, string_agg('[Visual Component] Caption: ' || caption, chr(10) ORDER BY img_pos) AS lines FROM matched WHERE caption <> 'Aucune légende trouvée' GROUP BY 1, 2),
+injected AS (SELECT p.doc_id, p.page, concat_ws(chr(10), o.lines, p.md) AS md FROM paged_md p LEFT JOIN own o ON p.doc_id = o.doc_id AND p.page = o.page)"""
+)
+
+# --- pages and outlines ------------------------------------------------------------
+
+
+@query(f"WITH {views.RAW_LINES} SELECT * FROM raw_lines")
+def page_lines(spark, sf_dir):
+    return views.raw_lines(spark, sf_dir)
+
+
+@query(f"WITH {_CARRIED} SELECT * FROM pages_of")
+def page_carry(spark, sf_dir):
+    return outline.carried(views.raw_lines(spark, sf_dir))
+
+
+@query(f"WITH {views.PAGED_MD} SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || md, chr(10) ORDER BY page) AS markdown FROM paged_md GROUP BY 1")
+def paged_markdown(spark, sf_dir):
+    part = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), "md")
+    return views.paged_markdown(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("md")))), lambda x: x["md"]), "\n").alias("markdown"))
+
+
+@query(f"WITH {views.PAGED_MD} SELECT doc_id, page, regexp_replace(chr(10) || md || chr(10), '\\s+$', '') AS text FROM paged_md")
+def page_split(spark, sf_dir):
+    """Splits assembled markdown at its page markers again."""
+    marker = r"(?U)---\s*Page\s*(\d+)\s*---"
+    whole = paged_markdown(spark, sf_dir)
+    parts = F.slice(F.split("markdown", marker), 2, 1_000_000)
+    rows = whole.select("doc_id", F.explode(F.arrays_zip(F.regexp_extract_all("markdown", F.lit(marker), F.lit(1)).alias("page"), parts.alias("text"))).alias("p"))
+    return rows.select("doc_id", F.col("p.page").cast("long").alias("page"), F.regexp_replace("p.text", r"\s+$", "").alias("text"))
+
+
+@query(f"WITH {_HEADS} SELECT doc_id, line_no, page, level, title, seq FROM sectioned WHERE level > 0")
+def heading_detect(spark, sf_dir):
+    return outline.sectioned(outline.carried(views.raw_lines(spark, sf_dir))).where("level > 0").select("doc_id", "line_no", "page", "level", "title", "seq")
+
+
+@query(f"WITH {_NODES} SELECT doc_id, seq, node_id, level, title, page_start FROM nodes")
+def node_ids(spark, sf_dir):
+    return outline.nodes(views.raw_lines(spark, sf_dir)).select("doc_id", "seq", "node_id", "level", "title", "page_start")
+
+
+@query(f"WITH {_NODES} SELECT doc_id, seq, parent_seq FROM parented")
+def outline_parent(spark, sf_dir):
+    return outline.parented(outline.nodes(views.raw_lines(spark, sf_dir))).select("doc_id", "seq", "parent_seq")
+
+
+@query(f"WITH {_NODES} SELECT doc_id, seq, content FROM nodes")
+def node_content(spark, sf_dir):
+    return outline.nodes(views.raw_lines(spark, sf_dir)).select("doc_id", "seq", "content")
+
+
+@query(f"WITH RECURSIVE {_RANGES} SELECT doc_id, seq, page_start, page_end FROM outline")
+def page_ranges(spark, sf_dir):
+    return _outline(spark, sf_dir).select("doc_id", "seq", "page_start", "page_end")
+
+
+@query(f"WITH RECURSIVE {_RANGES} SELECT doc_id, count(*) AS sections, greatest(1, max(page_end), max(page_start)) AS total_pages FROM outline GROUP BY 1")
+def section_totals(spark, sf_dir):
+    return outline.totals(_outline(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_RANGES} SELECT doc_id, string_agg(repeat('  ', depth) || CASE WHEN depth > 0 THEN '└─ ' ELSE '' END || '[' || node_id || '] ' || title || '  (p.' || page_start || ')', chr(10) ORDER BY seq) AS outline FROM outline GROUP BY 1")
+def print_outline(spark, sf_dir):
+    return outline.printed(_outline(spark, sf_dir))
+
+
+# --- captions and images -------------------------------------------------------------
+
+
+@query(f"WITH {_CAPTIONS} SELECT * FROM captions")
+def caption_mine(spark, sf_dir):
+    return captions.mined(views.paged_markdown(spark, sf_dir))
+
+
+@query(f"WITH {views.IMAGES} SELECT doc_id, page, img_pos, b64_len, md5(b64) AS b64_md5 FROM images")
+def image_group(spark, sf_dir):
+    return views.images(spark, sf_dir).select("doc_id", "page", "img_pos", "b64_len", F.md5("b64").alias("b64_md5"))
+
+
+@query(f"WITH {_MATCHED} SELECT * FROM matched")
+def caption_match(spark, sf_dir):
+    return _matched(spark, sf_dir).select("doc_id", "page", "img_pos", "label", "caption", "normalized_label")
+
+
+@query(f"WITH {_INJECTED} SELECT * FROM injected")
+def caption_inject(spark, sf_dir):
+    return captions.injected(views.paged_markdown(spark, sf_dir), _matched(spark, sf_dir)).select("doc_id", "page", "md")
+
+
+@query(rf"WITH {_INJECTED} SELECT doc_id, page, array_to_string(regexp_extract_all(md, '\[Visual Component\] Caption:\s*(.*?)(?:\n|$)', 1), '|') AS captions FROM injected")
+def visual_captions(spark, sf_dir):
+    return caption_inject(spark, sf_dir).select("doc_id", "page", F.array_join(captions.visual(F.col("md")), "|").alias("captions"))
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT * FROM claims")
+def image_claim(spark, sf_dir):
+    return images.claimed(_outline(spark, sf_dir), views.images(spark, sf_dir)).select("doc_id", "page", "img_pos", "seq")
+
+
+@query(
+    f"WITH RECURSIVE {_CLAIMS}, ranked AS (SELECT c.*, md5(i.b64) AS b64_md5, row_number() OVER (PARTITION BY c.doc_id, md5(i.b64) ORDER BY c.seq, c.page, c.img_pos) AS rk FROM claims c JOIN images i USING (doc_id, page, img_pos)) SELECT r.doc_id, r.seq, o.title, o.page_start, r.page, r.img_pos, r.b64_md5 FROM ranked r JOIN outline o ON o.doc_id = r.doc_id AND o.seq = r.seq WHERE rk = 1"
+)
+def image_gallery(spark, sf_dir):
+    sections, own = _outline(spark, sf_dir), views.images(spark, sf_dir)
+    return images.gallery(images.claimed(sections, own), own, sections).withColumn("b64_md5", F.md5("b64")).drop("b64")
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT doc_id, min(seq) AS seq FROM claims GROUP BY 1")
+def first_image(spark, sf_dir):
+    return image_claim(spark, sf_dir).groupBy("doc_id").agg(F.min("seq").alias("seq"))
+
+
+_LAYOUT = "SELECT page_id % 100 AS doc_id, 1 + (page_id {div} 100) % 3 AS page, page_id AS img_pos, 60 + page_id * 37 % 300 AS x0, 160 + page_id * 37 % 300 AS x1, 60 + page_id * 53 % 700 AS y0, 140 + page_id * 53 % 700 AS y1, 842 AS height FROM {pages}"
+
+
+@query(f"WITH p AS ({_LAYOUT.format(div='//', pages='pages')}) SELECT doc_id, page, img_pos FROM p WHERE y0 >= 70 AND y1 <= height - 70")
+def image_margins(spark, sf_dir):
+    views.table(spark, sf_dir, "pages").createOrReplaceTempView("folio_pages")
+    return images.within_margins(spark.sql(_LAYOUT.format(div="div", pages="folio_pages"))).select("doc_id", "page", "img_pos")
+
+
+_SPANS = "SELECT doc_id, page, x0 + 10 AS x0, x1 - 10 AS x1, CASE WHEN img_pos % 3 = 0 THEN y0 - 30 ELSE y1 + 10 END AS y0, CASE WHEN img_pos % 3 = 0 THEN y0 - 12 ELSE y1 + 28 END AS y1, 'caption   of ' || img_pos AS text FROM layout"
+
+
+@query(
+    f"""WITH layout AS ({_LAYOUT.format(div="//", pages="pages")}), spans AS ({_SPANS}),
+met AS (SELECT i.doc_id, i.page, i.img_pos, s.y0, s.x0, s.text, s.y0 < i.y1 + 50 AND s.y1 > i.y1 AS below FROM layout i JOIN spans s ON i.doc_id = s.doc_id AND i.page = s.page AND s.x0 < i.x1 + 20 AND s.x1 > i.x0 - 20 AND (s.y0 < i.y1 + 50 AND s.y1 > i.y1 OR s.y0 < i.y0 AND s.y1 > i.y0 - 50)),
+low AS (SELECT doc_id, page, img_pos, regexp_replace(string_agg(text, ' ' ORDER BY y0, x0, text), '\\s+', ' ', 'g') AS t FROM met WHERE below GROUP BY 1, 2, 3),
+high AS (SELECT doc_id, page, img_pos, regexp_replace(string_agg(text, ' ' ORDER BY y0, x0, text), '\\s+', ' ', 'g') AS t FROM met WHERE NOT below GROUP BY 1, 2, 3)
+SELECT l.doc_id, l.page, l.img_pos, coalesce(low.t, high.t, 'Aucune légende trouvée') AS caption FROM layout l LEFT JOIN low ON l.doc_id = low.doc_id AND l.page = low.page AND l.img_pos = low.img_pos LEFT JOIN high ON l.doc_id = high.doc_id AND l.page = high.page AND l.img_pos = high.img_pos"""
+)
+def caption_zone(spark, sf_dir):
+    views.table(spark, sf_dir, "pages").createOrReplaceTempView("folio_pages")
+    layout = spark.sql(_LAYOUT.format(div="div", pages="folio_pages"))
+    layout.createOrReplaceTempView("folio_layout")
+    return images.zone_captions(layout, spark.sql(_SPANS.replace("FROM layout", "FROM folio_layout")))
+
+
+# --- search ---------------------------------------------------------------------------
+
+
+@query(
+    rf"""WITH RECURSIVE {_RANGES},
+children AS (SELECT doc_id, parent_seq AS seq, string_agg(node_id || ':' || regexp_replace(title, '["\\\x00-\x1f]', '', 'g'), '|' ORDER BY seq) AS children FROM outline WHERE parent_seq IS NOT NULL GROUP BY 1, 2)
+SELECT o.doc_id, o.seq, o.node_id, regexp_replace(title, '["\\\x00-\x1f]', '', 'g') AS title, page_start || '-' || page_end AS pages, 'No' AS has_figures, '' AS figure_captions,
+  regexp_replace(trim(regexp_replace(left(content, 300), '\s+', ' ', 'g')), '[\x00-\x1f"\\]', '', 'g') AS preview, coalesce(c.children, '') AS children FROM outline o LEFT JOIN children c ON o.doc_id = c.doc_id AND o.seq = c.seq"""
+)
+def index_entries(spark, sf_dir):
+    return search.index_entries(_outline(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, array_to_string({_TERMS.format('text')}, ' ') AS terms FROM documents")
+def tokenize_terms(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.array_join(terms(F.col("text")), " ").alias("terms"))
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT doc_id, term, df, round(idf, 6) AS idf FROM idfs")
+def term_stats(spark, sf_dir):
+    sections = _outline(spark, sf_dir)
+    return search.term_weights(search.term_counts(sections), sections).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT * FROM scored")
+def bm25_scores(spark, sf_dir):
+    return search.bm25(views.questions(spark, sf_dir), _outline(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT query_id, doc_id, seq::BIGINT AS seq, score::DOUBLE AS score FROM hits")
+def bm25_top2(spark, sf_dir):
+    return search.bm25_hits(views.questions(spark, sf_dir), _outline(spark, sf_dir))
+
+
+@query(
+    rf"""WITH {_INJECTED},
+asked AS (SELECT DISTINCT doc_id AS query_id, doc_id, regexp_extract('explain figure ' || (doc_id % 4 + 1), 'fig(?:ure)?\.?\s*(\d+)', 1) AS number FROM turns),
+caption_of AS (SELECT doc_id, page, regexp_replace(lower(unnest(regexp_extract_all(md, '\[Visual Component\] Caption:\s*(.*?)(?:\n|$)', 1))), '[.\s]', '', 'g') AS cap FROM injected)
+SELECT query_id, a.doc_id, min(page) AS seq FROM asked a JOIN caption_of c ON a.doc_id = c.doc_id AND regexp_matches(cap, 'fig(?:ure)?' || number || '\b') GROUP BY 1, 2"""
+)
+def figure_shortcut(spark, sf_dir):
+    return search.figure_hits(_figure_questions(spark, sf_dir), _figured(spark, sf_dir))
+
+
+_REPLIES = [
+    (1, '{"thinking": "t", "node_list": ["0002", "0001", "0002", "0999"]}'),
+    (2, '```json\n{"thinking": "f", "node_list": ["0001"]}\n```'),
+    (3, '{thinking: "b", node_list: ["0003"]}'),
+    (4, 'The sections "0001" and "0000" fit.'),
+    (5, "nothing"),
+    (6, '{"thinking": "n", "node_list": null}'),
+]
+
+
+def _replies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_REPLIES, "query_id long, raw string").withColumn("doc_id", F.lit(1).cast("long"))
+
+
+@query(
+    "SELECT * FROM (VALUES (1::BIGINT, 't', '0002,0001,0002,0999'), (2, 'f', '0001'), (3, 'b', '0003'), (4, 'regex-extracted', '0001,0000'), (5, NULL, NULL), (6, NULL, NULL)) v(query_id, thinking, node_list)"
+)
+def reply_parse(spark, sf_dir):
+    got = search.parsed_reply(F.col("raw"))
+    return _replies(spark).select("query_id", got["thinking"].alias("thinking"), F.array_join(got["node_list"], ",").alias("node_list"))
+
+
+@query(
+    f"WITH RECURSIVE {_RANGES}, replies AS (SELECT query_id, 1::BIGINT AS doc_id, unnest(ids) AS node_id, generate_subscripts(ids, 1) - 1 AS pos FROM (VALUES (1::BIGINT, ['0002', '0001', '0002', '0999']), (2, ['0001']), (3, ['0003']), (4, ['0001', '0000'])) v(query_id, ids)) SELECT query_id, r.doc_id, o.seq, pos FROM replies r JOIN outline o USING (doc_id, node_id)"
+)
+def reply_validate(spark, sf_dir):
+    replies = _replies(spark).select("query_id", "doc_id", search.parsed_reply(F.col("raw"))["node_list"].alias("node_list"))
+    return search.valid_hits(replies, _outline(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT query_id, doc_id, seq::BIGINT AS seq, 'bm25' AS via FROM hits")
+def search_cascade(spark, sf_dir):
+    return search.cascade(views.questions(spark, sf_dir), _outline(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT h.query_id, o.doc_id, o.seq, o.node_id, o.title FROM hits h JOIN outline o ON h.doc_id = o.doc_id AND h.seq = o.seq")
+def retrieve_nodes(spark, sf_dir):
+    asked, sections = views.questions(spark, sf_dir), _outline(spark, sf_dir)
+    return search.retrieved(search.bm25_hits(asked, sections), asked, sections).select("query_id", "doc_id", "seq", "node_id", "title")
+
+
+# --- answers ----------------------------------------------------------------------------
+
+
+def _found(spark, sf_dir):
+    asked, sections = views.questions(spark, sf_dir), _outline(spark, sf_dir)
+    return asked, search.retrieved(search.bm25_hits(asked, sections), asked, sections)
+
+
+@query("SELECT item_id, regexp_matches(lower(text), 'fig(?:ure)?|chart|image|graph|plot|table|show') AS is_visual FROM benchmark")
+def visual_intent(spark, sf_dir):
+    return views.table(spark, sf_dir, "benchmark").select("item_id", answer.is_visual(F.col("text")).alias("is_visual"))
+
+
+_FOUND = "SELECT h.query_id, o.* FROM hits h JOIN outline o ON h.doc_id = o.doc_id AND h.seq = o.seq"
+_CONTEXTS = f"SELECT query_id, doc_id, string_agg('[Pages: ' || page_start || '-' || page_end || ' | Section: ' || title || ']' || chr(10) || left(content, 2500), chr(10) || chr(10) ORDER BY seq) AS context, string_agg('Section: ''' || title || ''', Page ' || page_start || '-' || page_end, '; ' ORDER BY seq) AS sources, count(*) AS n_sections FROM ({_FOUND}) GROUP BY 1, 2"
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT query_id, doc_id, context FROM ({_CONTEXTS})")
+def context_blocks(spark, sf_dir):
+    return answer.contexts(_found(spark, sf_dir)[1]).select("query_id", "doc_id", "context")
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT query_id, doc_id, sources, n_sections FROM ({_CONTEXTS})")
+def search_citations(spark, sf_dir):
+    return answer.contexts(_found(spark, sf_dir)[1]).select("query_id", "doc_id", "sources", "n_sections")
+
+
+@query(
+    f"WITH RECURSIVE {_BM25} SELECT query_id, c.doc_id, 'Answer from the context alone.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:' AS prompt, sources, regexp_matches(lower(query), 'fig(?:ure)?|chart|image|graph|plot|table|show') AS is_visual FROM ({_CONTEXTS}) c JOIN questions q USING (query_id)"
+)
+def answer_prompts(spark, sf_dir):
+    asked, found = _found(spark, sf_dir)
+    return answer.prompts(asked, found)
+
+
+@query(
+    rf"""WITH {_MATCHED}, asked AS (SELECT DISTINCT conv_id AS doc_id, conv_id % 4 + 1 AS number FROM conversations),
+hit AS (SELECT m.doc_id, page, img_pos FROM matched m JOIN asked a USING (doc_id) WHERE regexp_matches(regexp_replace(lower(label), '[.\s]', '', 'g'), 'fig(?:ure)?' || number || '\b') OR regexp_matches(regexp_replace(lower(caption), '[.\s]', '', 'g'), 'fig(?:ure)?' || number || '\b'))
+SELECT doc_id AS query_id, doc_id, page, img_pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, img_pos) AS rk FROM hit) WHERE rk = 1"""
+)
+def figure_resolve(spark, sf_dir):
+    return answer.figures(_figure_questions(spark, sf_dir), _matched(spark, sf_dir))
+
+
+# --- graph, export, sources ---------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
+def host_of_url(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", F.expr("parse_url(url, 'AUTHORITY')").alias("host"))
+
+
+@query(
+    rf"WITH {_NODES}, slugs AS (SELECT doc_id, seq, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM nodes WHERE seq > 0), nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY seq) - 1 AS k FROM slugs) SELECT doc_id, seq, 'section_' || slug || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS vertex_id FROM nth"
+)
+def section_slugs(spark, sf_dir):
+    return graph.section_ids(outline.nodes(views.raw_lines(spark, sf_dir))).select("doc_id", "seq", "vertex_id")
+
+
+@query(f"WITH {_NODES} SELECT c.doc_id, p.node_id AS source, c.node_id AS target, 'contains' AS edge_type FROM parented c JOIN parented p ON c.doc_id = p.doc_id AND c.parent_seq = p.seq")
+def graph_edges(spark, sf_dir):
+    return graph.contains_edges(outline.parented(outline.nodes(views.raw_lines(spark, sf_dir))))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\${3,}', '', 'g') AS t FROM documents),
+f AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\$\$([^$]+)\$\$', 1), regexp_extract_all(regexp_replace(t, '\$\$([^$]+)\$\$', '', 'g'), '\$([^$\n]+)\$', 1)) AS fs FROM t),
+e AS (SELECT doc_id, unnest(fs) AS content, generate_subscripts(fs, 1) - 1 AS pos FROM f) SELECT doc_id, pos, 'formula_' || pos AS formula_id, content FROM e"""
+)
+def formulas(spark, sf_dir):
+    return graph.formulas(views.table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_NODES} SELECT doc_id, string_agg(part, chr(10) ORDER BY seq) AS markdown FROM (SELECT doc_id, seq, concat_ws(chr(10), CASE WHEN level > 0 THEN repeat('#', level) || ' ' || title END, nullif(content, '')) AS part FROM nodes) WHERE part <> '' GROUP BY 1")
+def markdown_export(spark, sf_dir):
+    return graph.markdown(outline.nodes(views.raw_lines(spark, sf_dir)))

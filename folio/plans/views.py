@@ -1,0 +1,72 @@
+"""Paged documents derived from the driver's tables: each conversation is a document, each turn a page."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line): per turn a page tag, a heading by role and the lines of the text."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    lines = F.split("text", "\n", -1)
+    head = F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.left(lines[0], F.lit(40)))
+    tag = F.concat(F.lit("[[PAGE_"), F.col("turn") + 1, F.lit("]]"))
+    rows = turns(spark, sf_dir).withColumn("level", level).select("doc_id", "turn", F.posexplode(F.concat(F.array(tag, head), lines)).alias("at", "line"))
+    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "at")) - 1).cast("long").alias("line_no"), "line")
+
+
+RAW_LINES = """
+turns AS (SELECT conv_id AS doc_id, turn, role, coalesce(text, '') AS text FROM conversations),
+parts AS (SELECT doc_id, turn, list_concat(['[[PAGE_' || (turn + 1) || ']]', repeat('#', CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) || ' ' || left(string_split(text, chr(10))[1], 40)], string_split(text, chr(10))) AS xs FROM turns),
+exploded AS (SELECT doc_id, turn, unnest(xs) AS line, generate_subscripts(xs, 1) AS pos FROM parts),
+raw_lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn, pos) - 1 AS line_no, line FROM exploded)"""
+
+
+def paged_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, md): the text of each turn with a caption line of its own."""
+    plain = F.left(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit(60))
+    mark = F.element_at(F.array(F.lit(":"), F.lit("."), F.lit("a:")), (F.col("doc_id") % 3 + 1).cast("int"))
+    caption = F.when(F.col("role") == "assistant", F.concat(F.lit("Fig "), F.col("turn") + 1, mark, F.lit(" "), plain)).when(F.col("role") == "user", F.concat(F.lit("Table "), F.col("turn") + 1, F.lit(". "), plain))
+    extra = F.when(F.col("doc_id") % 5 == 0, F.lit("config 3: settings here"))
+    return turns(spark, sf_dir).select("doc_id", (F.col("turn") + 1).alias("page"), F.concat_ws("\n", "text", caption, extra).alias("md"))
+
+
+PAGED_MD = """
+turns AS (SELECT conv_id AS doc_id, turn, role, coalesce(text, '') AS text FROM conversations),
+paged_md AS (SELECT doc_id, turn + 1 AS page, concat_ws(chr(10), text,
+    CASE role WHEN 'assistant' THEN 'Fig ' || (turn + 1) || ([':', '.', 'a:'])[doc_id % 3 + 1] || ' ' || left(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), 60)
+              WHEN 'user' THEN 'Table ' || (turn + 1) || '. ' || left(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), 60) END,
+    CASE WHEN doc_id % 5 = 0 THEN 'config 3: settings here' END) AS md FROM turns)"""
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, img_pos, b64, b64_len): each web page's bytes stand in for an image."""
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("doc_id"), (1 + F.expr("page_id div 100") % 3).alias("page"), "page_id", F.regexp_replace(F.base64(F.col("html").cast("binary")), "[\r\n]", "").alias("b64"))
+    return rows.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("page_id")) - 1).cast("long").alias("img_pos"), "b64", F.length("b64").cast("long").alias("b64_len"))
+
+
+IMAGES = """
+images AS (SELECT page_id % 100 AS doc_id, 1 + (page_id // 100) % 3 AS page, row_number() OVER (PARTITION BY page_id % 100, 1 + (page_id // 100) % 3 ORDER BY page_id) - 1 AS img_pos,
+    to_base64(encode(html)) AS b64, length(to_base64(encode(html))) AS b64_len FROM pages)"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, query): the last eight words of one turn of each conversation."""
+    own = Window.partitionBy("doc_id")
+    rows = turns(spark, sf_dir).withColumn("n", F.count("*").over(own)).where(F.col("turn") == F.col("doc_id") % F.col("n"))
+    words = F.array_remove(F.split("text", r"[ \n]+"), "")
+    return rows.select(F.col("doc_id").alias("query_id"), "doc_id", F.array_join(F.when(F.size(words) > 8, F.slice(words, -8, 8)).otherwise(words), " ").alias("query"))
+
+
+QUESTIONS = """
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM turns),
+questions AS (SELECT doc_id AS query_id, doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')[-8:], ' ') AS query FROM counted WHERE turn = doc_id % n)"""
