@@ -54,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).parquet(path)  # a task's buffer stays small
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
@@ -79,7 +79,7 @@ def shipped(spark: SparkSession) -> None:
         context._folio_shipped = True
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Ships the code and bounds what Arrow hands to Python at once, in rows and in bytes, so that long texts fit a worker's memory."""
     shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -217,8 +217,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that the full sets link."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, own binary"), "sets")
+    bounded_batches(docs.sparkSession, 64)  # two sets a row
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x_set")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y_set")), "b")
     out = stored(both.select("a", "b", "x_set", "y_set").mapInArrow(_confirmed, "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "links")
     discard(sets)
+    bounded_batches(docs.sparkSession)
     return out
