@@ -140,14 +140,17 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _test(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    return ((filter_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+    """Whether both bits of each hash, by its first and by its last BITS bits, are set."""
+    hit = np.ones(len(h), bool)
+    for slot in ((h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)):
+        hit &= ((filter_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+    return hit
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the slots that the column key has; at most 2 ** (BITS - 5) rows reach the driver."""
-    slot = F.shiftrightunsigned("key", 64 - BITS)
-    got = keys.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {64 - BITS}) % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """A Bloom filter of the column key; at most 2 ** (BITS - 5) rows reach the driver."""
+    slots = keys.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - BITS), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)))).alias("slot"))
+    got = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 5), np.uint32)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint32)
     return out
