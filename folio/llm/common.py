@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,29 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2 ** bits bits over the hashes in column key; at most 2 ** (bits - 5) rows reach the driver."""
+    slots = keys.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))).alias("slot"))
+    got = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint32)
+    return out
+
+
+def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash, those named by its first and by its last bits, are set."""
+    bits, hit = len(filter_).bit_length() + 4, np.ones(len(h), bool)
+    for slot in ((h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)):
+        hit &= ((filter_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+    return hit
+
+
+def perhaps_in(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """docs without most of the rows whose doc_id isn't in ids, so that an exact join moves few other texts."""
+    filter_ = bloom(ids.select(F.xxhash64("doc_id").alias("key")), bits)
+    return docs.where(F.pandas_udf(lambda h: pd.Series(in_bloom(filter_, h.to_numpy().view(np.uint64))), "boolean")(F.xxhash64("doc_id")))
+
+
 # --- blocks of text ----------------------------------------------------------
 
 

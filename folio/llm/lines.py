@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SpanHasher, bounded_batches, mix, span_hashes, stored, text_blocks, words
+from folio.llm.common import SpanHasher, bloom, bounded_batches, in_bloom, mix, span_hashes, stored, text_blocks, words
 from folio.llm.components import components
 
 EDITS = 2
@@ -139,23 +139,6 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(ids)).astype(np.int8)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
 
 
-def _test(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether both bits of each hash, by its first and by its last BITS bits, are set."""
-    hit = np.ones(len(h), bool)
-    for slot in ((h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)):
-        hit &= ((filter_[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
-    return hit
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column key; at most 2 ** (BITS - 5) rows reach the driver."""
-    slots = keys.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - BITS), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)))).alias("slot"))
-    got = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 5), np.uint32)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint32)
-    return out
-
-
 def _probing(once: np.ndarray, twice: np.ndarray):
     """Probes (key, h, bag) that the filters of index keys, and of those of several lines, let pass."""
 
@@ -172,7 +155,7 @@ def _probing(once: np.ndarray, twice: np.ndarray):
                 for less, k, own, at, size in probes(lines.length):
                     key = lines.keys(own, at, size, lines.length[own] - less, k)
                     itself = (at == segments(lines.length[own])[k][0]) if not less else np.zeros(len(own), bool)
-                    ok = np.where(itself, _test(twice, key), _test(once, key))
+                    ok = np.where(itself, in_bloom(twice, key), in_bloom(once, key))
                     keys.append(key[ok]), rows.append(own[ok])
                 key, own = np.concatenate(keys), np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[own]), pa.array(bags.view(np.int64)[own])], ["key", "h", "bag"])
@@ -188,7 +171,7 @@ def _has_line(wanted: np.ndarray):
             for _, data, offsets in text_blocks(batch):
                 _, _, start, end = _spans(data, offsets)
                 h = span_hashes(data, start, end)
-                at = np.flatnonzero(_test(wanted, h))
+                at = np.flatnonzero(in_bloom(wanted, h))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at], end[at], strict=True)], pa.string())], ["h", "line"])
 
@@ -237,13 +220,13 @@ def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     """
     index = stored(index.distinct(), "index")
     kinds = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    once, twice = _filter(index), _filter(kinds.where("lo <> hi"))
+    once, twice = bloom(index, BITS), bloom(kinds.where("lo <> hi"), BITS)
     x, y = index.alias("x"), docs.mapInArrow(_probing(once, twice), "key long, h long, bag long").distinct().alias("y")
     # an edit changes the parity of two code points at most
     met = x.join(y, F.expr(f"x.key = y.key and x.h <> y.h and bit_count(x.bag ^ y.bag) <= {2 * EDITS}"))
     pairs = stored(met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    lines = docs.mapInArrow(_has_line(_filter(ends)), "h long, line string").join(ends.withColumnRenamed("key", "h"), "h", "left_semi")
+    lines = docs.mapInArrow(_has_line(bloom(ends, BITS)), "h long, line string").join(ends.withColumnRenamed("key", "h"), "h", "left_semi")
     lines = stored(lines.groupBy("h").agg(F.min("line").alias("line")), "lines")
     left = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     both = left.join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, discard, mix, shingle_sets, stored, text_blocks
+from folio.llm.common import bounded_batches, discard, mix, perhaps_in, shingle_sets, stored, text_blocks
 from folio.llm.components import components
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
@@ -183,7 +183,7 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     at = buckets.select("key", "doc_id").join(components(links), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     at = stored(at, "placed")
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = at.join(mixed, "key").select("doc_id", "root").distinct()
+    rest = stored(at.join(mixed, "key").select("doc_id", "root").distinct(), "rest")
     return links.unionByName(_verified(docs, _pairs(_sharing_rare(docs, rest))))
 
 
@@ -198,7 +198,7 @@ def _sharing_rare(docs: DataFrame, rest: DataFrame) -> DataFrame:
     |y| - ceil(6/7 |y|) + 1 of y and the first |x| - ceil(3/4 |x|) + 1 of x, and what follows the first shared
     one must hold the ceil(3/7 (|x| + |y|)) shingles that the link needs.
     """
-    each = docs.join(rest, "doc_id").select("doc_id", "text", "root").mapInArrow(_exploded, "doc_id long, root long, n long, shingle long")
+    each = perhaps_in(docs, rest).join(rest, "doc_id").select("doc_id", "text", "root").mapInArrow(_exploded, "doc_id long, root long, n long, shingle long")
     each = stored(each, "shingles")
     shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("doc_id")
@@ -215,8 +215,8 @@ def _sharing_rare(docs: DataFrame, rest: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that the full sets link."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, own binary"), "sets")
+    ends = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ends")
+    sets = stored(perhaps_in(docs, ends).join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, own binary"), "sets")
     bounded_batches(docs.sparkSession, 64)  # two sets a row
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x_set")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y_set")), "b")
