@@ -9,6 +9,7 @@ digests made from what the ARC record holds.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -177,7 +178,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[dict] = []
         for content in batch.column("content"):
-            for headers, block in read_warc(content.as_py()):
+            data = content.as_py()
+            for headers, block in read_warc(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data):
                 revisit = headers["warc-type"] == "revisit"
                 payload = None if revisit else split_http(block)[1]
                 found = headers["warc-payload-digest"].removeprefix("sha1:")
@@ -210,7 +212,7 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes WARC files of about ARCHIVE_BYTES: a text file whose lines end in the blank lines that close a record.
+    """Writes gzipped WARC files of about ARCHIVE_BYTES before compression: a text file whose lines end in the blank lines that close a record.
 
     Null html is an empty payload and a null url is urn:none. page_id must be given and tell the rows apart.
     """
@@ -219,7 +221,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b")).first()
     each = (size["b"] or 0) / max(size["n"], 1) + 600
     records = with_revisits(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(_converted, "value string")
-    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
+    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
