@@ -34,21 +34,23 @@ def worded_lines(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
+    """A predicate over the columns that measured() adds, true for texts to reject."""
+
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[], Column]
 
 
-def _per_hundred(part: Column, whole: Column) -> Column:
-    return 100 * part.cast("long") - whole.cast("long")
+def _letters(pattern: str) -> Column:
+    return 100 * F.regexp_count("_t", F.lit(pattern)).cast("long")
 
 
 RULES = (
-    Rule("word_length", lambda t: (F.length(F.array_join(word_list(t), "")) > 14 * F.size(word_list(t))) | (F.length(F.array_join(word_list(t), "")) < 2 * F.size(word_list(t)))),
-    Rule("symbols", lambda t: 100 * symbols(t) > 20 * F.size(word_list(t))),
-    Rule("repeated_lines", lambda t: 100 * (F.size(worded_lines(t)) - F.size(F.array_distinct(worded_lines(t)))) > 40 * F.size(worded_lines(t))),
-    Rule("capitals", lambda t: 100 * F.regexp_count(t, F.lit(r"\p{Lu}")) > 50 * F.regexp_count(t, F.lit(r"\p{L}"))),
-    Rule("no_letters", lambda t: 100 * F.regexp_count(t, F.lit(r"\p{L}")) < 50 * F.length(F.array_join(word_list(t), ""))),
-    Rule("few_words", lambda t: 100 * F.size(F.array_distinct(word_list(t))) < 5 * F.least(F.size(word_list(t)), F.lit(1000))),
+    Rule("word_length", lambda: (F.col("word_chars") > 14 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
+    Rule("symbols", lambda: 100 * F.col("n_symbols") > 20 * F.col("n_words")),
+    Rule("repeated_lines", lambda: 100 * F.col("n_dup_lines") > 40 * F.size("_lines")),
+    Rule("capitals", lambda: _letters(r"\p{Lu}") > 50 * F.regexp_count("_t", F.lit(r"\p{L}")).cast("long")),
+    Rule("no_letters", lambda: _letters(r"\p{L}") < 50 * F.col("word_chars")),
+    Rule("few_words", lambda: 100 * F.size(F.array_distinct("_w")) < 5 * F.least(F.col("n_words"), F.lit(1000))),
 )
 
 
@@ -62,20 +64,21 @@ class Estimate:
 def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most: int = 2000) -> list[Estimate]:
     """Seconds and share of rejections of each rule on about most rows, drawn by a hash of doc_id."""
     n = docs.count()
-    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    drawn = docs.select("doc_id", "text")
     if n > most:
         drawn = drawn.where(F.pmod(F.xxhash64("doc_id", F.lit(73)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    drawn = stored(drawn.coalesce(2), "rules")
+    drawn = stored(measured(drawn.coalesce(2)), "rules")
+    touched = [F.max(F.length("_t")), F.max(F.size("_w")), F.max(F.size("_lines")), F.max("word_chars"), F.max("n_symbols"), F.max("n_dup_lines"), F.max("n_words")]
 
     def timed(rejects: Column) -> tuple[float, float]:
         began = time.perf_counter()
-        got = drawn.agg(F.avg(rejects.cast("int"))).first()[0]
+        got = drawn.agg(F.avg(rejects.cast("int")), *touched).first()[0]
         return time.perf_counter() - began, got or 0.0
 
-    idle = min(timed(F.length("text") < 0)[0] for _ in range(2))
+    idle = min(timed(F.lit(False))[0] for _ in range(2))
     out = []
     for rule in rules:
-        runs = [timed(rule.rejects(F.col("text"))) for _ in range(2)]
+        runs = [timed(rule.rejects()) for _ in range(2)]
         out.append(Estimate(rule.name, max(min(x[0] for x in runs) - idle, 1e-3), runs[0][1]))
     return out
 
@@ -86,11 +89,11 @@ def ordered(rules: tuple[Rule, ...], found: list[Estimate]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-by[r.name].rejected / by[r.name].seconds, r.name))
 
 
-def cascade(text: Column, rules: list[Rule], first: Column | None = None) -> Column:
-    """The name of the first rule that rejects the text ("base" for the condition first), null if none does."""
+def cascade(rules: list[Rule], first: Column | None = None) -> Column:
+    """The name of the first rule that rejects a text of measured() ("base" for the condition first), null if none does."""
     out = F.when(first, F.lit("base")) if first is not None else F.when(F.lit(False), F.lit(""))
     for rule in rules:
-        out = out.when(rule.rejects(text), F.lit(rule.name))
+        out = out.when(rule.rejects(), F.lit(rule.name))
     return out
 
 
@@ -98,13 +101,14 @@ def measured(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole texts.
 
     Words are runs without ASCII blanks; a null text has none. Word windows are first told apart by hashes: only
-    texts in which a hash repeats compare the windows themselves.
+    texts in which a hash repeats compare the windows themselves. The text, its words and its worded lines stay as
+    _t, _w and _lines for the rules, so that no rule splits a text again.
     """
     df = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", word_list(F.col("_t")))
     df = df.withColumn("_lines", worded_lines(F.col("_t"))).withColumn("_n", F.size("_w"))
     at = F.sequence(F.lit(1), F.col("_n") - WINDOW + 1)
     df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    df = df.withColumn("_hashes", F.when(F.col("_n") > WINDOW, F.transform(at, lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))))
+    df = df.withColumn("_hashes", F.when(F.col("_n") > WINDOW, F.transform(at, lambda i: F.xxhash64(*(F.get("_h", i + (k - 1)) for k in range(WINDOW))))))
     df = df.withColumn("_again", F.coalesce(F.size("_hashes") > F.size(F.array_distinct("_hashes")), F.lit(False)))
     windows = F.transform(at, lambda i: F.struct(F.array_join(F.slice("_w", i, WINDOW), " ").alias("s"), i.alias("i")))
     df = df.withColumn("_sorted", F.when(F.col("_again"), F.sort_array(windows)))
@@ -125,7 +129,7 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
     )
-    return out.drop("_w", "_lines", "_n", "_h", "_hashes", "_again", "_sorted", "_twice")
+    return out.drop("_n", "_h", "_hashes", "_again", "_sorted", "_twice")
 
 
 def rated(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,5 +142,5 @@ def rated(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     docs = docs.select("doc_id", "text")
     order = ordered(rules, estimates(docs, rules))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    df = measured(docs).withColumn("base_failed", base).withColumn("rejected_by", cascade(F.col("_t"), order, F.col("base_failed")))
+    df = measured(docs).withColumn("base_failed", base).withColumn("rejected_by", cascade(order, F.col("base_failed")))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
