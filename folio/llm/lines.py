@@ -110,18 +110,24 @@ class _Long:
         own = self.hashed(self.at[a], self.at[a + size])
         return mix(own + mix(of.astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(k)))
 
-    def bags(self) -> np.ndarray:
+    def bags(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parities of the code points of each line, and of their pairs of neighbours, by first bytes."""
         if not len(self.h):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.stack([self.from_, self.to], 1).ravel()
-        return np.bitwise_xor.reduceat(np.append(_BAG[self.data], np.uint64(0)), ends)[::2]
+        one = np.bitwise_xor.reduceat(np.append(_BAG[self.data], np.uint64(0)), ends)[::2]
+        first = self.data[self.at[:-1]].astype(np.uint64)
+        pair = np.uint64(1) << (mix(first[:-1] * np.uint64(256) + first[1:]) >> np.uint64(58))
+        ends = np.stack([self.begin, self.begin + self.length - 1], 1).ravel()
+        two = np.bitwise_xor.reduceat(np.append(pair, [np.uint64(0)] * 2), ends)[::2]
+        return one.view(np.int64), two.view(np.int64)
 
 
-_ROWS = "kind byte, a long, b long, c long"
+_ROWS = "kind byte, a long, b long, c long, d long"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of lines (kind 0: doc_id, line number, h) and index entries (kind 1: key, h, bag)."""
+    """Places of lines (kind 0: doc_id, line number, h) and index entries (kind 1: key, h, bag, pairs)."""
     for batch in batches:
         for first, data, offsets in text_blocks(batch):
             row, number, start, end = _spans(data, offsets)
@@ -129,18 +135,19 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = hashed(start, end)
             ids = np.asarray(batch.column("doc_id").fill_null(-1))[row + first]
             long_ = _Long(data, hashed, start, end, h)
-            rows, bags = np.arange(len(long_.h)), long_.bags().view(np.int64)
+            rows, (bags, twos) = np.arange(len(long_.h)), long_.bags()
             keys = [long_.keys(rows, at, size, long_.length, k).view(np.int64) for k, (at, size) in enumerate(segments(long_.length))]
             new, where = np.unique(long_.h, return_index=True)
             del new
             a = np.concatenate([ids, *(x[where] for x in keys)])
             b = np.concatenate([number, *[long_.h.view(np.int64)[where]] * len(keys)])
             c = np.concatenate([h.view(np.int64), *[bags[where]] * len(keys)])
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(ids)).astype(np.int8)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
+            d = np.concatenate([np.zeros(len(ids), np.int64), *[twos[where]] * len(keys)])
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(ids)).astype(np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array(d)], ["kind", "a", "b", "c", "d"])
 
 
 def _probing(once: np.ndarray, twice: np.ndarray):
-    """Probes (key, h, bag) that the filters of index keys, and of those of several lines, let pass."""
+    """Probes (key, h, bag, pairs) that the filters of index keys, and of those of several lines, let pass."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +157,7 @@ def _probing(once: np.ndarray, twice: np.ndarray):
                 h = hashed(start, end)
                 new = np.sort(np.unique(h, return_index=True)[1])  # a line that the block repeats probes once
                 lines = _Long(data, hashed, start[new], end[new], h[new])
-                bags = lines.bags()
+                bags, twos = lines.bags()
                 keys, rows = [], []
                 for less, k, own, at, size in probes(lines.length):
                     key = lines.keys(own, at, size, lines.length[own] - less, k)
@@ -158,7 +165,7 @@ def _probing(once: np.ndarray, twice: np.ndarray):
                     ok = np.where(itself, in_bloom(twice, key), in_bloom(once, key))
                     keys.append(key[ok]), rows.append(own[ok])
                 key, own = np.concatenate(keys), np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[own]), pa.array(bags.view(np.int64)[own])], ["key", "h", "bag"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[own]), pa.array(bags[own]), pa.array(twos[own])], ["key", "h", "bag", "pairs"])
 
     return probe
 
@@ -213,7 +220,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b): hashes h of the different lines at most EDITS edits apart; index has key, h and bag of all lines.
+    """(a, b): hashes h of the different lines at most EDITS edits apart; index has key, h, bag and pairs of all lines.
 
     Probes go to the join only if a filter of fixed size says that another line may have their key. The text of
     the lines that meet is fetched by such a filter too; both joins are exact.
@@ -221,9 +228,9 @@ def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     index = stored(index.distinct(), "index")
     kinds = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     once, twice = bloom(index, BITS), bloom(kinds.where("lo <> hi"), BITS)
-    x, y = index.alias("x"), docs.mapInArrow(_probing(once, twice), "key long, h long, bag long").distinct().alias("y")
-    # an edit changes the parity of two code points at most
-    met = x.join(y, F.expr(f"x.key = y.key and x.h <> y.h and bit_count(x.bag ^ y.bag) <= {2 * EDITS}"))
+    x, y = index.alias("x"), docs.mapInArrow(_probing(once, twice), "key long, h long, bag long, pairs long").distinct().alias("y")
+    # an edit changes the parity of two code points and of four pairs of neighbours at most
+    met = x.join(y, F.expr(f"x.key = y.key and x.h <> y.h and bit_count(x.bag ^ y.bag) <= {2 * EDITS} and bit_count(x.pairs ^ y.pairs) <= {4 * EDITS}"))
     pairs = stored(met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     lines = docs.mapInArrow(_has_line(bloom(ends, BITS)), "h long, line string").join(ends.withColumnRenamed("key", "h"), "h", "left_semi")
@@ -260,7 +267,7 @@ def deduplicated(docs: DataFrame, scope: str = "corpus") -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(slim.mapInArrow(_placed, _ROWS), "places")
     lines = rows.where("kind = 0").selectExpr("a AS doc_id", "b AS line_no", "c AS h")
-    links = line_links(slim, rows.where("kind = 1").selectExpr("a AS key", "b AS h", "c AS bag"))
+    links = line_links(slim, rows.where("kind = 1").selectExpr("a AS key", "b AS h", "c AS bag", "d AS pairs"))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     near = stored(components(links).withColumnRenamed("node", "h").join(degree, "h"), "classes")
     placed = lines.join(near, "h", "left").select("doc_id", "line_no", F.coalesce("root", "h").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
