@@ -232,7 +232,7 @@ def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     # an edit changes the parity of two code points and of four pairs of neighbours at most
     met = x.join(y, F.expr(f"x.key = y.key and x.h <> y.h and bit_count(x.bag ^ y.bag) <= {2 * EDITS} and bit_count(x.pairs ^ y.pairs) <= {4 * EDITS}"))
     pairs = stored(met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")  # read twice
     lines = docs.mapInArrow(_has_line(bloom(ends, BITS)), "h long, line string").join(ends.withColumnRenamed("key", "h"), "h", "left_semi")
     lines = stored(lines.groupBy("h").agg(F.min("line").alias("line")), "lines")
     left = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
