@@ -277,6 +277,7 @@ def deduplicated(docs: DataFrame, scope: str = "corpus") -> DataFrame:
         marked = placed.join(again, ["doc_id", "class"], "left").withColumn("again", F.coalesce(F.col("line_no") > F.col("first_no"), F.lit(False)))
     else:
         first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("places")).where("places > 1")
+        first = stored(first, "first")  # with no aggregate below the join, AQE may split the places of a hot class
         marked = placed.join(first, "class", "left").withColumn("again", F.coalesce(F.struct("doc_id", "line_no") > F.col("first"), F.lit(False)))
     each = marked.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("again").cast("long")).alias("n_gone"), F.sum("n").alias("n_links"), F.collect_list(F.when(F.col("again"), F.col("line_no"))).alias("gone")
