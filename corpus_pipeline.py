@@ -25,12 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of alike lines of one document the first stays. n_chars is that of the new text.
+    """Of alike lines of the corpus the first by (doc_id, line number) stays. n_chars is that of the new text.
 
-    Lines that other documents have stay: taking them from all but one would turn copies, near copies and
-    benchmark passages, which are for the next stages to judge, into remains that no stage can tell.
+    Documents of which no line stays are copies line by line and go; those without a line to begin with stay.
     """
-    out = lines.deduplicated(docs, scope="document")
+    out = lines.deduplicated(docs).where((F.col("n_lines") == 0) | (F.col("n_gone") < F.col("n_lines")))
     return out.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -89,7 +89,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts)  # counted through the block
     head = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])))) if len(starts) else np.zeros(0, int)
-    tail = np.append(head[1:], len(starts)) - 1
+    tail = np.append(head[1:], len(starts))[: len(head)] - 1
     return row[head], line[head] - np.searchsorted(breaks, offsets[:-1])[row[head]], starts[head], ends[tail]
 
 
