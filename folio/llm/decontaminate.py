@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a window of SPAN tokens of which a fixed mask keeps some, so a substitution at a position that is left
-out changes nothing. Seeds of the benchmark and of the documents are joined on their hashes; around each hit
-the aligned tokens are compared, and a stretch of the item with enough equal tokens is a leak.
+out changes nothing. An item shorter than a seed has a seed of its whole length for each position left out. Seeds
+of the benchmark and of the documents are joined on their hashes; around each hit the aligned tokens are compared,
+and a stretch of the item with enough equal tokens is a leak. Every set of substitutions that EQUAL allows leaves a seed.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import bounded_batches, mix, stored, text_blocks, tokens
 
-# The masks.
-MASKS = ("1111110000", "1110100110", "1101010011", "1010111001", "1100110101")
+# The masks. Any two positions are left out by one of them, and, shifted within an item of 15 to 19 tokens, any three.
+MASKS = ("1011011010", "1101110100", "1001101011", "0101011101", "0011110011", "0111101100", "1110000111", "0100111110", "1010111001")
 SPAN = len(MASKS[0])
 #: Items of fewer tokens are matched whole, and only from SHORT tokens on.
 SHORT = 5
@@ -43,13 +44,14 @@ def seeds(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield k, mix(acc), valid
 
 
-def whole(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n tokens, for items shorter than a seed."""
+def whole(hashes: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of n tokens without one of them, valid) for each token that may be left out, for items shorter than a seed."""
     m = max(len(hashes) - n + 1, 0)
-    acc = np.full(m, 100 + n, np.uint64)
-    for j in range(n):
-        acc = acc * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + m]
-    return mix(acc), np.arange(m) + n <= np.repeat(first[1:], np.diff(first))[:m]
+    valid = np.arange(m) + n <= np.repeat(first[1:], np.diff(first))[:m]
+    terms = [hashes[j : j + m] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(n)]
+    every = sum(terms, np.zeros(m, np.uint64))
+    for j, own in enumerate(terms):
+        yield mix(every - own + np.uint64(100 + SPAN * n + j)), valid
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +62,9 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(sizes)), sizes)
             found = [(h[v], np.flatnonzero(v)) for _, h, v in seeds(hashes, first)]
             for n in range(SHORT, SPAN):
-                h, v = whole(hashes, first, n)
-                v = v & (sizes[owner[: len(v)]] == n)
-                found.append((h[v], np.flatnonzero(v)))
+                for h, v in whole(hashes, first, n):
+                    v = v & (sizes[owner[: len(v)]] == n)
+                    found.append((h[v], np.flatnonzero(v)))
             keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
             own = owner[at]
             items = pa.array([hashes[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))
@@ -78,7 +80,7 @@ def _probing(filter_: np.ndarray, short: list[int]):
                 hashes, first = tokens(data, offsets)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 found = []
-                for h, v in [*((h, v) for _, h, v in seeds(hashes, first)), *(whole(hashes, first, n) for n in short)]:
+                for h, v in [*((h, v) for _, h, v in seeds(hashes, first)), *(x for n in short for x in whole(hashes, first, n))]:
                     slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     at = np.flatnonzero(v & ((filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool))
                     found.append((h[at], at))
