@@ -396,6 +396,22 @@ def figure_resolve(spark, sf_dir):
     return answer.figures(_figure_questions(spark, sf_dir), _matched(spark, sf_dir))
 
 
+@query(
+    rf"""WITH {_INJECTED}, asked AS (SELECT DISTINCT conv_id AS doc_id, conv_id % 4 + 1 AS number FROM conversations),
+names AS (SELECT doc_id, page, img_pos, regexp_replace(lower(label), '[.\s]', '', 'g') AS label, regexp_replace(lower(caption), '[.\s]', '', 'g') AS caption FROM matched),
+large AS (SELECT i.doc_id, i.page, i.img_pos FROM images i JOIN injected p ON p.doc_id = i.doc_id AND p.page = i.page WHERE b64_len >= 5000),
+caption_of AS (SELECT doc_id, page, regexp_replace(lower(unnest(regexp_extract_all(md, '\[Visual Component\] Caption:\s*(.*?)(?:\n|$)', 1))), '[.\s]', '', 'g') AS cap FROM injected),
+tries AS (
+    SELECT n.*, 1 AS pass FROM (SELECT doc_id, page, img_pos, number FROM names JOIN asked USING (doc_id) WHERE regexp_matches(caption, 'fig(?:ure)?' || number || '\b')) n JOIN large USING (doc_id, page, img_pos)
+    UNION ALL SELECT doc_id, page, img_pos, number, 2 FROM names JOIN asked USING (doc_id) WHERE regexp_matches(label, 'fig(?:ure)?' || number || '\b') OR regexp_matches(caption, 'fig(?:ure)?' || number || '\b')
+    UNION ALL SELECT i.doc_id, i.page, i.img_pos, number, 3 FROM asked a JOIN caption_of c ON a.doc_id = c.doc_id JOIN images i ON i.doc_id = c.doc_id AND i.page = c.page WHERE b64_len > 0 AND regexp_matches(cap, 'fig(?:ure)?' || number || '\b'))
+SELECT doc_id AS query_id, doc_id, page, img_pos, pass FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pass, page, img_pos) AS rk FROM tries) WHERE rk = 1"""
+)
+def figure_cascade(spark, sf_dir):
+    sections, found = _figured(spark, sf_dir), _matched(spark, sf_dir)
+    return answer.resolved(_figure_questions(spark, sf_dir), found, images.claimed(sections, found), sections)
+
+
 # --- graph, export, sources ---------------------------------------------------------------
 
 
