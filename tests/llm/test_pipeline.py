@@ -9,3 +9,10 @@ def test_lines_go_across_documents(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got == {1: (f"first\n{shared}", 6 + len(shared)), 2: ("second", 6), 3: ("third", 5), 5: (None, 0), 6: ("", 0)}
+
+
+def test_documents_without_an_id_stay(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, "of its own, with no copy at all"), (3, "another text that has no copy")], "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()]
+    assert sorted(got, key=lambda x: x or 0) == [None, 1, 3]
