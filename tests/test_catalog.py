@@ -51,7 +51,7 @@ def model(lines):
 
     def finish(k):
         children = nodes[k][4]
-        for c, after in zip(children, [*children[1:], None], strict=True):
+        for c, after in zip(children, [*children[1:], None], strict=False):
             end = nodes[after][1] if after is not None else nodes[k][2]
             nodes[c][2] = max(nodes[c][1], end)
             finish(c)
