@@ -1,12 +1,13 @@
-"""Answers from retrieved sections: intent, context, citations, figures and prompt."""
+"""Answers from retrieved sections: intent, context, citations, figures, prompt and an extractive answer."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import INTENT
+from folio.functions.text import ANSWERING, INTENT, filled, terms
 from folio.operators.captions import visual
+from folio.operators.images import in_ranges
 from folio.operators.search import figure_number
 
 CONTEXT = 2500
@@ -65,8 +66,9 @@ def figures(questions: DataFrame, images: DataFrame) -> DataFrame:
 
 def content_figures(questions: DataFrame, images: DataFrame, sections: DataFrame) -> DataFrame:
     """(query_id, doc_id, page, img_pos): the first image, empty ones aside, on the pages of the first section that has one and a content caption of the figure asked for."""
-    captioned = sections.where("page_start <= page_end").select("doc_id", "seq", F.sequence("page_start", "page_end").alias("pages"), F.explode(_numbers(visual(F.col("content")))).alias("number"))
-    known = captioned.select("doc_id", "seq", "number", F.explode("pages").alias("page")).join(images.where("b64_len > 0").select("doc_id", "page", "img_pos"), ["doc_id", "page"])
+    captioned = sections.select("doc_id", "seq", F.explode(_numbers(visual(F.col("content")))).alias("number"))
+    there = images.where("b64_len > 0").select("doc_id", "page", "img_pos")
+    known = captioned.join(in_ranges(sections.join(captioned.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_semi"), there), ["doc_id", "seq"]).join(there, ["doc_id", "page"])
     return _first(_asked(questions), known, "seq", "page", "img_pos")
 
 
@@ -99,5 +101,17 @@ def attached(questions: DataFrame, found: DataFrame, images: DataFrame, claims:
 def prompts(questions: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, doc_id, prompt, sources, is_visual)."""
     rows = questions.join(contexts(found), ["query_id", "doc_id"])
-    prompt = F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), "context", F.lit("\n\nQuestion: "), "query", F.lit("\nAnswer:"))
-    return rows.select("query_id", "doc_id", prompt.alias("prompt"), "sources", is_visual(F.col("query")).alias("is_visual"))
+    return rows.select("query_id", "doc_id", filled(ANSWERING, query=F.col("query"), context=F.col("context")).alias("prompt"), "sources", is_visual(F.col("query")).alias("is_visual"))
+
+
+def extracts(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, doc_id, answer): the sentence or line of the retrieved sections that shares most different terms with the question.
+
+    Of equals the first; without a shared term the first of all; an empty text if there is none. No model is asked.
+    """
+    key = ["query_id", "doc_id"]
+    pieces = F.filter(F.transform(F.regexp_extract_all(F.left("content", F.lit(CONTEXT)), F.lit(r"[^\n.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+    rows = questions.select(*key, F.array_distinct(terms(F.col("query"))).alias("asked")).join(found.select(*key, "seq", F.posexplode_outer(pieces).alias("pos", "piece")), key)
+    shared = F.size(F.array_intersect("asked", terms(F.coalesce("piece", F.lit("")))))
+    best = rows.groupBy(*key).agg(F.min_by("piece", F.struct((-shared).alias("less"), F.col("piece").isNull().alias("none"), "seq", "pos")).alias("answer"))
+    return best.select(*key, F.coalesce("answer", F.lit("")).alias("answer"))

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import CAPTION, LABEL, NO_CAPTION, VISUAL, normalized_label, stripped
+from folio.functions.text import CAPTION, IMAGE_TAG, LABEL, NO_CAPTION, NO_TAG_CAPTION, VISUAL, normalized_label, stripped
+from folio.operators.pages import latest
 
 
-def mined(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, cap_pos, label, full_caption, normalized) of the captions in md."""
-    rows = pages.select("doc_id", "page", F.posexplode(F.regexp_extract_all("md", F.lit(CAPTION), F.lit(1))).alias("cap_pos", "caption"))
+def mined(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """(doc_id, page, cap_pos, label, full_caption, normalized) of the captions in md.
+
+    Where a page number repeats in a document, the last part by order that has a caption replaces those before it;
+    without order all parts count.
+    """
+    parts = pages.select("doc_id", "page", *([order] if order else []), F.regexp_extract_all("md", F.lit(CAPTION), F.lit(1)).alias("found"))
+    if order:
+        parts = latest(parts.where(F.size("found") > 0), ["doc_id", "page"], order)
+    rows = parts.select("doc_id", "page", F.posexplode("found").alias("cap_pos", "caption"))
     rows = rows.select("doc_id", "page", F.col("cap_pos").cast("long").alias("cap_pos"), stripped(F.col("caption")).alias("full_caption"))
     rows = rows.withColumn("label", stripped(F.regexp_extract("full_caption", LABEL, 1)))
     return rows.select("doc_id", "page", "cap_pos", "label", "full_caption", normalized_label(F.col("label")).alias("normalized"))
@@ -40,3 +48,18 @@ def injected(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 def visual(text):
     return F.regexp_extract_all(text, F.lit(VISUAL), F.lit(1))
+
+
+def beside_tags(documents: DataFrame) -> DataFrame:
+    """(doc_id, pos, tag, caption): image tags of markdown, each with the first two lines with text that follow it."""
+    parts = F.slice(F.split("markdown", IMAGE_TAG, -1), 2, 1_000_000_000)
+    rows = documents.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("markdown", F.lit(IMAGE_TAG), F.lit(1)).alias("tag"), parts.alias("text"))).alias("pos", "p"))
+    lines = F.filter(F.transform(F.split("p.text", "\n"), stripped), lambda x: x != "")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("p.tag").alias("tag"), F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, 2), " ")).otherwise(F.lit(NO_TAG_CAPTION)).alias("caption"))
+
+
+def tag_sources(tags: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, pos, tag, name): the first file (doc_id, file_no, name) of the document whose name holds the tag, or the other way round."""
+    held = F.contains("name", F.col("tag")) | F.contains("tag", F.col("name"))
+    met = tags.join(files, "doc_id").where(held).groupBy("doc_id", "pos", "tag").agg(F.min_by("name", "file_no").alias("name"))
+    return tags.select("doc_id", "pos", "tag").join(met, ["doc_id", "pos", "tag"], "left")

@@ -10,20 +10,53 @@ from folio.functions.text import NO_CAPTION, collapsed
 LEAST_B64 = 5000
 
 
+#: Pages that share a bucket when page ranges meet pages.
+BUCKET = 64
+
+
+def in_ranges(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, seq, page): the given pages (doc_id, page) that the page ranges of sections hold.
+
+    Ranges meet pages by buckets of pages. Ranges of many buckets would make many rows, so a range has one for each bucket
+    in which its document has a page, found from the document's own list of buckets.
+    """
+    known = pages.select("doc_id", "page").distinct().withColumn("bucket", F.floor(F.col("page") / BUCKET))
+    buckets = known.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets"))
+    held = sections.where("page_start <= page_end").select("doc_id", "seq", "page_start", "page_end").join(buckets, "doc_id")
+    held = held.withColumn("bucket", F.explode(F.filter("buckets", lambda b: (b >= F.floor(F.col("page_start") / BUCKET)) & (b <= F.floor(F.col("page_end") / BUCKET)))))
+    return held.join(known, ["doc_id", "bucket"]).where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("doc_id", "seq", "page")
+
+
 def claimed(sections: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, page, img_pos, seq): a page's large images belong to the first section whose pages hold it."""
     large = images.where(F.col("b64_len") >= LEAST_B64).select("doc_id", "page", "img_pos")
-    held = sections.where("page_start <= page_end").select("doc_id", "seq", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    owner = held.join(large.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").agg(F.min("seq").alias("seq"))
+    owner = in_ranges(sections, large).groupBy("doc_id", "page").agg(F.min("seq").alias("seq"))
     return large.join(owner, ["doc_id", "page"])
 
 
 def gallery(claims: DataFrame, images: DataFrame, sections: DataFrame) -> DataFrame:
-    """Claimed images in page order, each payload once per document; payloads are joined last."""
-    rows = claims.join(images, ["doc_id", "page", "img_pos"])
-    first = Window.partitionBy("doc_id", F.md5("b64")).orderBy("seq", "page", "img_pos")
-    kept = rows.withColumn("at", F.row_number().over(first)).where("at = 1")
-    return kept.join(sections.select("doc_id", "seq", "title", "page_start"), ["doc_id", "seq"]).select("doc_id", "seq", "title", "page_start", "page", "img_pos", "b64")
+    """Claimed images in page order, each payload once per document; equal payloads are told by their md5, and payloads are joined last."""
+    key = ["doc_id", "page", "img_pos"]
+    rows = claims.join(images.select(*key, F.md5("b64").alias("sum")), key)
+    first = rows.groupBy("doc_id", "sum").agg(F.min(F.struct("seq", "page", "img_pos")).alias("at")).select("doc_id", "at.*")
+    titled = first.join(sections.select("doc_id", "seq", "title", "page_start"), ["doc_id", "seq"])
+    return titled.join(images.select(*key, "b64"), key).select("doc_id", "seq", "title", "page_start", "page", "img_pos", "b64")
+
+
+def first_image(gallery: DataFrame) -> DataFrame:
+    """(doc_id, seq, title, page, img_pos, b64): the first image of the first section that has one."""
+    return gallery.groupBy("doc_id").agg(F.min_by(F.struct("seq", "title", "page", "img_pos", "b64"), F.struct("seq", "page", "img_pos")).alias("at")).select("doc_id", "at.*")
+
+
+def from_placements(placements: DataFrame) -> DataFrame:
+    """(doc_id, page, img_idx, ext, b64, b64_len) of images (doc_id, page, img_idx, ext, content, y0, y1, height) within the margins."""
+    b64 = F.regexp_replace(F.base64("content"), "[\r\n]", "")
+    return within_margins(placements.where("y0 is not null")).select("doc_id", "page", "img_idx", "ext", b64.alias("b64"), F.length(b64).cast("long").alias("b64_len"))
+
+
+def by_page(images: DataFrame) -> DataFrame:
+    """images with img_pos, their place on the page by img_idx."""
+    return images.withColumn("img_pos", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("img_idx")) - 1).cast("long"))
 
 
 def within_margins(placements: DataFrame, top: float = 70, bottom: float = 70) -> DataFrame:

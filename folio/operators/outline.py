@@ -91,3 +91,27 @@ def printed(sections: DataFrame) -> DataFrame:
 def totals(sections: DataFrame) -> DataFrame:
     """(doc_id, sections, total_pages)."""
     return sections.groupBy("doc_id").agg(F.count("*").alias("sections"), F.greatest(F.lit(1).cast("long"), F.max("page_end"), F.max("page_start")).alias("total_pages"))
+
+
+def nested(sections: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tree): the outline as JSON, sections nested in "nodes" lists.
+
+    Sections come in preorder, so each is written with what opens it and, after it, as many ends as the next one is less
+    deep. images has the images of sections: (doc_id, seq, page, img_pos, b64, caption, label).
+    """
+    rows = sections
+    if images is not None:
+        each = F.transform(F.array_sort(F.collect_list(F.struct("page", "img_pos", "b64", "caption", "label"))), lambda x: x)
+        rows = rows.join(images.groupBy("doc_id", "seq").agg(each.alias("_images")), ["doc_id", "seq"], "left")
+    else:
+        rows = rows.withColumn("_images", F.lit(None).cast("array<struct<page:bigint,img_pos:bigint,b64:string,caption:string,label:string>>"))
+    of = lambda c: F.coalesce(F.transform("_images", lambda x: x[c]), F.array().cast("array<string>"))
+    node = F.to_json(F.struct("node_id", "title", "page_start", "page_end", "content", of("b64").alias("base64_images"), of("caption").alias("image_captions"), of("label").alias("image_labels")))
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    less = F.col("depth") - F.coalesce(F.lead("depth").over(order), F.lit(0))
+    rows = rows.withColumn("_less", F.when(F.lead("depth").over(order).isNull(), F.col("depth") + 1).otherwise(less + 1))
+    comma = F.when(F.coalesce(F.lag("depth").over(order), F.lit(-1)) >= F.col("depth"), F.lit(",")).otherwise(F.lit(""))
+    text = F.concat(comma, F.expr("substr(_node, 1, length(_node) - 1)"), F.lit(',"nodes":['), F.expr("repeat(']}', cast(_less as int))"))
+    rows = rows.withColumn("_node", node).withColumn("_text", text)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_text"))), lambda x: x["_text"]), "")
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("tree"))

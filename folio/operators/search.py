@@ -5,57 +5,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import FIGURE_QUERY, collapsed, safe_title, terms
+from folio.functions.text import FIGURE_QUERY, NAVIGATION, collapsed, filled, safe_title, terms
 from folio.operators.captions import visual
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def index_entries(sections: DataFrame) -> DataFrame:
-    """One entry per section with preview, captions and direct children; content is left out."""
-    children = sections.where("parent_seq is not null").groupBy("doc_id", F.col("parent_seq").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id", safe_title(F.col("title")).alias("title")))), lambda x: F.concat(x["node_id"], F.lit(":"), x["title"])), "|").alias("children"))
+#: How often a term of the title counts.
+TITLE_WEIGHT = 3
+
+
+def index_entries(sections: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """(doc_id, seq, node_id, title, pages, has_figures, figure_captions, preview, children, search) of each section.
+
+    has_figures tells whether claims (doc_id, seq) gives the section an image; children are structs of node_id and title;
+    search is the lower-cased content.
+    """
+    children = sections.where("parent_seq is not null").groupBy("doc_id", F.col("parent_seq").alias("seq")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "node_id", safe_title(F.col("title")).alias("title")))), lambda x: F.struct(x["node_id"].alias("node_id"), x["title"].alias("title"))).alias("children")
+    )
+    rows = sections.join(children, ["doc_id", "seq"], "left")
+    if claims is None:
+        rows = rows.withColumn("held", F.lit(None).cast("boolean"))
+    else:
+        rows = rows.join(claims.select("doc_id", "seq", F.lit(True).alias("held")).distinct(), ["doc_id", "seq"], "left")
     preview = F.regexp_replace(collapsed(F.left("content", F.lit(300))), r'[\x00-\x1f"\\]', "")
-    captions = visual(F.col("content"))
-    return sections.join(children, ["doc_id", "seq"], "left").select(
+    return rows.select(
         "doc_id", "seq", "node_id", safe_title(F.col("title")).alias("title"), F.concat(F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string")).alias("pages"),
-        F.when(F.size(captions) > 0, "Yes").otherwise("No").alias("has_figures"), F.array_join(captions, "|").alias("figure_captions"), preview.alias("preview"), F.coalesce("children", F.lit("")).alias("children"),
+        F.when(F.col("held"), "Yes").otherwise("No").alias("has_figures"), F.transform(visual(F.col("content")), safe_title).alias("figure_captions"), preview.alias("preview"),
+        F.coalesce("children", F.array().cast("array<struct<node_id:string,title:string>>")).alias("children"), F.lower("content").alias("search"),
     )
 
 
+def _quoted(x: Column | str) -> Column:
+    return F.concat(F.lit('"'), F.col(x) if isinstance(x, str) else x, F.lit('"'))
+
+
+def _listed(items: Column, indent: str) -> Column:
+    """JSON of a list of items that are JSON already, one a line."""
+    return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit(f"[\n{indent}  "), F.array_join(items, f",\n{indent}  "), F.lit(f"\n{indent}]")))
+
+
+def entry_json(entries: DataFrame) -> DataFrame:
+    """(doc_id, entries): the index entries of a document as indented JSON, without their search text.
+
+    Quotes, backslashes and control characters are gone from the values already; other characters stand for themselves.
+    """
+    child = F.transform("children", lambda c: F.concat(F.lit('{\n        "node_id": '), _quoted(c["node_id"]), F.lit(',\n        "title": '), _quoted(c["title"]), F.lit("\n      }")))
+    values = [F.concat(F.lit(f'    "{c}": '), _quoted(c)) for c in ("node_id", "title", "pages", "has_figures")]
+    values += [F.concat(F.lit('    "figure_captions": '), _listed(F.transform("figure_captions", _quoted), "    ")), F.concat(F.lit('    "preview": '), _quoted("preview"))]
+    values.append(F.when(F.size("children") > 0, F.concat(F.lit('    "children": '), _listed(child, "    "))))
+    entry = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *values), F.lit("\n  }"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", entry.alias("json")))), lambda x: x["json"]), ",\n")
+    return entries.groupBy("doc_id").agg(F.concat(F.lit("[\n"), joined, F.lit("\n]")).alias("entries"))
+
+
+def navigation_prompts(questions: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, prompt): what a ranker of sections is asked."""
+    rows = questions.join(entry_json(entries), "doc_id")
+    return rows.select("query_id", "doc_id", filled(NAVIGATION, query=F.col("query"), entries=F.col("entries")).alias("prompt"))
+
+
 def term_counts(entries: DataFrame) -> DataFrame:
-    """(doc_id, seq, term, tf): terms of title, thrice, and text."""
-    rows = entries.select("doc_id", "seq", F.explode(terms(F.col("title"))).alias("term"), F.lit(3).alias("w")).unionByName(entries.select("doc_id", "seq", F.explode(terms(F.col("content"))).alias("term"), F.lit(1).alias("w")))
-    return rows.groupBy("doc_id", "seq", "term").agg(F.sum("w").alias("tf"))
+    """(doc_id, seq, n, term, tf): terms of title, thrice, and text; n is the number of the document's entries."""
+    sized = entries.select("doc_id", "seq", F.count("*").over(Window.partitionBy("doc_id")).alias("n"), terms(F.col("title")).alias("heads"), terms(F.col("content")).alias("words"))
+    each = F.concat(F.array_repeat("heads", TITLE_WEIGHT - 1), F.array("heads", "words"))
+    return sized.select("doc_id", "seq", "n", F.explode(F.flatten(each)).alias("term")).groupBy("doc_id", "seq", "n", "term").agg(F.count("*").alias("tf"))
+
+
+def weighted_terms(entries: DataFrame) -> DataFrame:
+    """(doc_id, seq, term, tf, dl, avgdl, df, idf, first): a term in over half of the entries gets EPSILON of the mean idf.
+
+    Everything is counted within the document, so all windows keep the partitioning by doc_id that the outline has. first
+    marks one row of each term.
+    """
+    doc = Window.partitionBy("doc_id")
+    term = Window.partitionBy("doc_id", "term")
+    rows = term_counts(entries).withColumn("df", F.count("*").over(term)).withColumn("first", F.row_number().over(term.orderBy("seq")) == 1)
+    rows = rows.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "seq"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    rows = rows.withColumn("avgdl", F.sum("tf").over(doc) / F.col("n")).withColumn("mean", F.sum(F.when(F.col("first"), F.col("raw"))).over(doc) / F.count_if("first").over(doc))
+    return rows.select("doc_id", "seq", "term", "tf", "dl", "avgdl", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "first")
 
 
-def term_weights(counts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_id, term, df, idf): a term in over half of the entries gets EPSILON of the mean."""
-    size = entries.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = counts.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(size, "doc_id")
-    raw = df.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.groupBy("doc_id").agg((F.sum("raw") / F.count("*")).alias("mean"))
-    return raw.join(mean, "doc_id").select("doc_id", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def term_weights(entries: DataFrame) -> DataFrame:
+    """(doc_id, term, df, idf) of each term of a document."""
+    return weighted_terms(entries).where("first").select("doc_id", "term", "df", "idf")
 
 
 def bm25(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """(query_id, doc_id, seq, score) of the entries that share a term with the question, rounded to six places."""
-    counts = term_counts(entries)
-    lengths = counts.groupBy("doc_id", "seq").agg(F.sum("tf").alias("dl"))
-    sizes = entries.groupBy("doc_id").agg(F.count("*").alias("n"))
-    mean = lengths.groupBy("doc_id").agg(F.sum("dl").alias("all")).join(sizes, "doc_id").select("doc_id", (F.col("all") / F.col("n")).alias("avgdl"))
     asked = questions.select("query_id", "doc_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(term_weights(counts, entries), ["doc_id", "term"]).join(counts, ["doc_id", "term"]).join(lengths, ["doc_id", "seq"]).join(mean, "doc_id")
+    met = asked.join(weighted_terms(entries), ["doc_id", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_hits(questions: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, seq, score): the best section and a second of half its score or more, else the first section."""
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "seq")
-    top = bm25(questions, entries).where("score > 0").withColumn("rank", F.row_number().over(order)).where("rank <= 2").withColumn("top", F.max("score").over(Window.partitionBy("query_id", "doc_id")))
-    found = top.where((F.col("rank") == 1) | (F.col("score") >= 0.5 * F.col("top"))).select("query_id", "doc_id", "seq", "score")
-    missed = questions.join(found.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("score"))
-    return found.unionByName(missed)
+    """(query_id, doc_id, seq, score): the best section and a second of half its score or more, else the first section with 0."""
+    key = ["query_id", "doc_id"]
+    own = Window.partitionBy(*key)
+    top = bm25(questions, entries).where("score > 0").withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "seq"))).where("rank <= 2").withColumn("top", F.max("score").over(own))
+    found = top.where((F.col("rank") == 1) | (F.col("score") >= 0.5 * F.col("top"))).select(*key, "seq", "score")
+    return _or_first(questions, found).select(*key, "seq", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _or_first(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits, and the first section for questions without any."""
+    return questions.select("query_id", "doc_id").join(hits, ["query_id", "doc_id"], "left").withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
 
 
 def figure_number(query: Column) -> Column:
@@ -102,7 +156,5 @@ def cascade(questions: DataFrame, sections: DataFrame, replies: DataFrame | None
 
 def retrieved(hits: DataFrame, questions: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections of each question by document order; a question without any gets the root."""
-    key = ["query_id", "doc_id"]
-    own = hits.select(*key, "seq").distinct()
-    missed = questions.select(*key).join(own, key, "left_anti").withColumn("seq", F.lit(0).cast("long"))
-    return own.unionByName(missed).join(sections, ["doc_id", "seq"])
+    own = hits.select("query_id", "doc_id", "seq").distinct()
+    return _or_first(questions, own).distinct().join(sections, ["doc_id", "seq"])
