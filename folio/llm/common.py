@@ -10,20 +10,23 @@ Conventions for every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.storage import fresh_path, remove, shared_dir  # noqa: F401
+
 #: Bytes of text that a kernel works on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 _RNG = np.random.default_rng(20240229)
@@ -40,31 +43,64 @@ _powers: dict[int, np.ndarray] = {}
 # --- storage ---------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (as in tests) a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark.sparkContext, "_folio_shared", None)
-        if at is None:
-            at = "file://" + tempfile.mkdtemp(prefix="folio-")
-            spark.sparkContext._folio_shared = at
-    return at.rstrip("/")
+#: Paths that the open scratch() block has written.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder; what is written there goes with the open scratch() block, else with the session."""
+    path = fresh_path(spark, name)
+    own = _written.get()
+    if own is None:
+        atexit.register(remove, spark, path)
+    else:
+        own.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.option("parquet.block.size", 8 << 20).parquet(path)  # a task's buffer stays small
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written within, but for what kept() handed on."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        own = _written.get()
+        _written.reset(token)
+        for path in own or ():
+            remove(spark, path)
+        collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files, broadcasts and plans of what was cut off or deleted: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, whose stored rows outlive the open scratch() block: they go when the session ends, or by discard()."""
+    own = _written.get()
+    if own is not None and df._folio_path in own:
+        own.remove(df._folio_path)
+        atexit.register(remove, df.sparkSession, df._folio_path)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote; no plan over it may run from then on."""
-    _remove(df.sparkSession, df._folio_path)
+    remove(df.sparkSession, df._folio_path)
+    collect_garbage(df.sparkSession)
 
 
 def shipped(spark: SparkSession) -> None:
@@ -80,19 +116,40 @@ def shipped(spark: SparkSession) -> None:
         context._folio_shipped = True
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Ships the code and bounds what Arrow hands to Python at once, in rows and in bytes, so that long texts fit a worker's memory."""
-    shipped(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+#: What Arrow hands to Python at once, at most: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Ships the code and lowers, for the session, what Arrow hands to Python at once, so that long texts fit a worker's memory.
 
-def _remove(spark: SparkSession, path: str) -> None:
+    Plans returned by the operators run with these two settings, the same for all of them; lower settings are left alone.
+    """
+    shipped(spark)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+@contextlib.contextmanager
+def smaller_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows at once for the actions within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended before the interpreter
-        pass
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, longer by as many underscores as it takes to differ from all columns, in any case of letters."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def held_out(doc_id):
@@ -100,13 +157,30 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+#: log2 of the words of a Bloom filter that reach the driver in one row.
+_BLOCK_BITS = 12
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (word, bits), all of a block in one partition, as blocks of bytes."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        word, bits = np.asarray(batch.column("word")), np.asarray(batch.column("bits"))
+        for block in np.unique(word >> _BLOCK_BITS):
+            own = word >> _BLOCK_BITS == block
+            found.setdefault(int(block), np.zeros(1 << _BLOCK_BITS, np.int32))[word[own] & ((1 << _BLOCK_BITS) - 1)] = bits[own]
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["block", "words"])
+
+
 def bloom(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of 2 ** bits bits over the hashes in column key; at most 2 ** (bits - 5) rows reach the driver."""
+    """A Bloom filter of 2 ** bits bits over the hashes in column key; it reaches the driver as such, 2 ** (bits - 3) bytes at most."""
     slots = keys.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))).alias("slot"))
-    got = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint32)
-    return out
+    words = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1, cast(slot % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros((1 << (bits - 5 - _BLOCK_BITS), 1 << _BLOCK_BITS), np.uint32)
+    got = words.repartition(F.shiftright("word", _BLOCK_BITS)).mapInArrow(_blocks, "block long, words binary").toArrow()
+    for block, own in zip(got.column("block").to_pylist(), got.column("words"), strict=True):
+        out[block] = np.frombuffer(own.as_buffer(), np.uint32)
+    return out.ravel()
 
 
 def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -117,12 +191,6 @@ def in_bloom(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
-def perhaps_in(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
-    """docs without most of the rows whose doc_id isn't in ids, so that an exact join moves few other texts."""
-    filter_ = bloom(ids.select(F.xxhash64("doc_id").alias("key")), bits)
-    return docs.where(F.pandas_udf(lambda h: pd.Series(in_bloom(filter_, h.to_numpy().view(np.uint64))), "boolean")(F.xxhash64("doc_id")))
-
-
 # --- blocks of text ----------------------------------------------------------
 
 
@@ -254,12 +322,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[
             yield hashes[:0]
 
 
-def size_checked(df: DataFrame, rows: int) -> list | None:
-    """The rows if there are at most so many, else None; no more than that ever reaches the driver."""
-    got = df.limit(rows + 1).collect()
-    return got if len(got) <= rows else None
-
-
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
 
