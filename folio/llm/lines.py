@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SpanHasher, bloom, bounded_batches, in_bloom, mix, span_hashes, stored, text_blocks, words
+from folio.llm.common import SpanHasher, bloom, bounded_batches, in_bloom, kept, mix, scratch, span_hashes, stored, text_blocks, unused, words
 from folio.llm.components import components
 
 EDITS = 2
@@ -127,23 +127,23 @@ _ROWS = "kind byte, a long, b long, c long, d long"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of lines (kind 0: doc_id, line number, h) and index entries (kind 1: key, h, bag, pairs)."""
+    """Places of lines (kind 0, the first of a text 2: doc_id, line number, h, text_key) and index entries (kind 1: key, h, bag, pairs)."""
     for batch in batches:
         for first, data, offsets in text_blocks(batch):
             row, number, start, end = _spans(data, offsets)
             hashed = SpanHasher(data)
             h = hashed(start, end)
-            ids = np.asarray(batch.column("doc_id").fill_null(-1))[row + first]
-            long_ = _Long(data, hashed, start, end, h)
-            rows, (bags, twos) = np.arange(len(long_.h)), long_.bags()
-            keys = [long_.keys(rows, at, size, long_.length, k).view(np.int64) for k, (at, size) in enumerate(segments(long_.length))]
-            new, where = np.unique(long_.h, return_index=True)
-            del new
-            a = np.concatenate([ids, *(x[where] for x in keys)])
-            b = np.concatenate([number, *[long_.h.view(np.int64)[where]] * len(keys)])
-            c = np.concatenate([h.view(np.int64), *[bags[where]] * len(keys)])
-            d = np.concatenate([np.zeros(len(ids), np.int64), *[twos[where]] * len(keys)])
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(ids)).astype(np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array(d)], ["kind", "a", "b", "c", "d"])
+            ids, texts = (np.asarray(batch.column(c))[row + first] for c in ("doc_id", "text_key"))
+            head = np.ones(len(row), bool)
+            head[1:] = row[1:] != row[:-1]
+            names = ["kind", *"abcd"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(head, 2, 0).astype(np.int8)), pa.array(ids), pa.array(number), pa.array(h.view(np.int64)), pa.array(texts)], names)
+            new = np.sort(np.unique(h, return_index=True)[1])
+            lines = _Long(data, hashed, start[new], end[new], h[new])
+            rows, (bags, twos) = np.arange(len(lines.h)), lines.bags()
+            for k, (at, size) in enumerate(segments(lines.length)):
+                key = lines.keys(rows, at, size, lines.length, k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int8)), pa.array(key), pa.array(lines.h.view(np.int64)), pa.array(bags), pa.array(twos)], names)
 
 
 def _probing(once: np.ndarray, twice: np.ndarray):
@@ -240,48 +240,68 @@ def line_links(docs: DataFrame, index: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(_checked, "a long, b long"), "links")
 
 
-def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            if gone:
-                gone = set(gone)
-                text = "\n".join(x for k, x in enumerate(line_list(text)) if k not in gone)
-            texts.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+def _kept_text(marks: str):
+    """The rows with the lines that marks names taken out of their text."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(marks).to_pylist(), strict=True):
+                if gone:
+                    gone = set(gone)
+                    text = "\n".join(x for k, x in enumerate(line_list(text)) if k not in gone)
+                texts.append(text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return keep
+
+
+_ADDED = ("n_lines", "n_gone", "n_links")
 
 
 def deduplicated(docs: DataFrame, scope: str = "corpus") -> DataFrame:
-    """The columns of docs, text without repeated lines, and n_lines, n_gone and n_links (long).
+    """The columns of docs, text without repeated lines, and n_lines, n_gone and n_links (long; columns of these names are replaced).
 
     Lines are cut at \\n and stripped of ASCII blanks; lines without more than blanks always stay and aren't counted.
     Lines are alike if equal or, from LEAST code points on, linked through lines at most EDITS edits apart. Of alike
-    lines the first by (doc_id, line number) stays: in the corpus, or with scope "document" in each document.
-    n_links counts the linked different lines of the document's lines. Null texts stay null. No rows give no rows.
-    doc_id must tell the documents apart.
+    lines the first by (doc_id, hash of the text, line number) stays: in the corpus, or with scope "document" in each
+    document. n_links counts the linked different lines of the document's lines. Null texts stay null. No rows give
+    no rows. doc_id is cast to long; rows that repeat one, or have none, are told apart by their texts, and equal rows
+    count as one document, which each of them is.
     """
-    bounded_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_gone", "n_links", "gone")]
-    docs = docs.select(*own)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.select(*(c for c in docs.columns if c not in _ADDED))
+    id_, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.xxhash64("text")
+    slim = docs.select(id_.alias("doc_id"), key.alias("text_key"), "text")
+    with scratch(spark):
+        each = kept(stored(_marked(slim, scope), "marks"))
+    of, at, marks = (unused(docs.columns, x) for x in ("of_doc", "of_text", "marks"))
+    joined = docs.join(each.select(F.col("doc_id").alias(of), F.col("text_key").alias(at), F.struct(*_ADDED, "gone").alias(marks)), (id_ == F.col(of)) & (key == F.col(at)), "left")
+    gone = unused(docs.columns, "gone")
+    filled = joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.coalesce(f"{marks}.{c}", F.lit(0).cast("long")).alias(c) for c in _ADDED), F.col(f"{marks}.gone").alias(gone))
+    return filled.mapInArrow(_kept_text(gone), filled.schema).drop(gone)
+
+
+def _marked(slim: DataFrame, scope: str) -> DataFrame:
+    """(doc_id, text_key, n_lines, n_gone, n_links, gone) of the texts with a line."""
     rows = stored(slim.mapInArrow(_placed, _ROWS), "places")
-    lines = rows.where("kind = 0").selectExpr("a AS doc_id", "b AS line_no", "c AS h")
+    lines = rows.where("kind <> 1").selectExpr("kind = 2 AS head", "a AS doc_id", "b AS line_no", "c AS h", "d AS text_key")
     links = line_links(slim, rows.where("kind = 1").selectExpr("a AS key", "b AS h", "c AS bag", "d AS pairs"))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     near = stored(components(links).withColumnRenamed("node", "h").join(degree, "h"), "classes")
-    placed = lines.join(near, "h", "left").select("doc_id", "line_no", F.coalesce("root", "h").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    placed = lines.join(near, "h", "left").select("head", "doc_id", "text_key", "line_no", F.coalesce("root", "h").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
     if scope == "document":
-        first = placed.groupBy("doc_id", "class").agg(F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no"))
-        again = first.where("last_no > first_no").select("doc_id", "class", "first_no")
-        marked = placed.join(again, ["doc_id", "class"], "left").withColumn("again", F.coalesce(F.col("line_no") > F.col("first_no"), F.lit(False)))
+        own = ["doc_id", "text_key", "class"]
+        first = placed.groupBy(*own).agg(F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no")).where("last_no > first_no").drop("last_no")
+        marked = placed.join(first, own, "left").withColumn("again", F.coalesce(F.col("line_no") > F.col("first_no"), F.lit(False)))
     else:
-        first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("places")).where("places > 1")
+        place = F.struct("doc_id", "text_key", "line_no")
+        first = placed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
         first = stored(first, "first")  # with no aggregate below the join, AQE may split the places of a hot class
-        marked = placed.join(first, "class", "left").withColumn("again", F.coalesce(F.struct("doc_id", "line_no") > F.col("first"), F.lit(False)))
-    each = marked.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sum(F.col("again").cast("long")).alias("n_gone"), F.sum("n").alias("n_links"), F.collect_list(F.when(F.col("again"), F.col("line_no"))).alias("gone")
+        marked = placed.join(first, "class", "left").withColumn("again", F.coalesce(place > F.col("first"), F.lit(False)))
+    equal = F.count_if("head")  # rows of one doc_id and text
+    return marked.groupBy("doc_id", "text_key").agg(
+        F.expr("count(*) div count_if(head)").alias("n_lines"), (F.count_if("again") / equal).cast("long").alias("n_gone"), (F.sum("n") / equal).cast("long").alias("n_links"), F.collect_set(F.when(F.col("again"), F.col("line_no"))).alias("gone")
     )
-    joined = docs.join(each.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    filled = joined.select(*own, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_gone", "n_links")), "gone")
-    return filled.mapInArrow(_kept_text, filled.schema).drop("gone")
