@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import _P, _P_INVERSE, _TABLE, _power, bounded_batches, mix, span_hashes, stored, text_blocks
+from folio.llm.common import _P, _P_INVERSE, _TABLE, _power, bounded_batches, kept, mix, scratch, span_hashes, stored, text_blocks
 
 LENGTH, GRAM = 400, 32
 WINDOW = LENGTH - GRAM + 1
 #: Different contexts of one anchor that a task compares.
-MOST = 4096
+MOST = 512
 _PLACE = 20  # bits for the place in a piece
 _PIECE = 1 << (_PLACE - 1)
 
@@ -72,7 +72,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[low], chosen[low], low, high, gram[chosen[low]]
 
 
-_FOUND = "gram long, context long, doc_id long, place long, low long, high long"
+_FOUND = "gram long, context long, doc_id long, text_key long, place long, low long, high long"
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,25 +85,25 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 context = mix(span_hashes(part, low, high + LENGTH) + mix((place - low).astype(np.uint64) * np.uint64(1 << 12) + (high - place + WINDOW).astype(np.uint64)))
                 base = cuts[row] - at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc_id").take(pa.array(row + row0 + first)), *(pa.array(x - base) for x in (place, low, high))],
-                    ["gram", "context", "doc_id", "place", "low", "high"],
+                    [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *(batch.column(c).take(pa.array(row + row0 + first)) for c in ("doc_id", "text_key")), *(pa.array(x - base) for x in (place, low, high))],
+                    ["gram", "context", "doc_id", "text_key", "place", "low", "high"],
                 )
 
 
-_CONTEXT = "key long, context long, n long, doc_id long, place long, before int, text binary"
+_CONTEXT = "key long, context long, n long, doc_id long, text_key long, place long, before int, text binary"
 
 
 def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each wanted context."""
     for batch in batches:
-        for text, wanted, doc in zip(batch.column("text"), batch.column("wanted").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+        for text, wanted, doc, key in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("wanted", "doc_id", "text_key")), strict=True):
             raw = (text.as_py() or "").encode()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x["gram"] for x in wanted], pa.int64()), pa.array([x["context"] for x in wanted], pa.int64()), pa.array([x["n"] for x in wanted], pa.int64()), pa.array([doc] * len(wanted), pa.int64()),
+                    pa.array([x["gram"] for x in wanted], pa.int64()), pa.array([x["context"] for x in wanted], pa.int64()), pa.array([x["n"] for x in wanted], pa.int64()), pa.array([doc] * len(wanted), pa.int64()), pa.array([key] * len(wanted), pa.int64()),
                     pa.array([x["place"] for x in wanted], pa.int64()), pa.array([x["place"] - x["low"] for x in wanted], pa.int32()), pa.array([raw[x["low"] : x["high"] + LENGTH] for x in wanted], pa.binary()),
                 ],
-                ["key", "context", "n", "doc_id", "place", "before", "text"],
+                ["key", "context", "n", "doc_id", "text_key", "place", "before", "text"],
             )
 
 
@@ -170,16 +170,19 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield own
 
 
-def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "begin", "end"])
+_RANGE = "doc_id long, text_key long, begin long, end long"
+
+
+def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "text_key", "begin", "end"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     for own in _grouped(batches):
         for i, stretches in repeats([(x["before"], x["text"]) for x in own]).items():
             if own[i]["n"] == 1:
-                out += [(own[i]["doc_id"], own[i]["place"] + a, own[i]["place"] + b) for a, b in stretches]
+                out += [(own[i]["doc_id"], own[i]["text_key"], own[i]["place"] + a, own[i]["place"] + b) for a, b in stretches]
         if len(out) >= 1000:
             yield _ranges(out)
             out = []
@@ -216,32 +219,31 @@ def _split(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def _resolved(parts: DataFrame, span: int) -> DataFrame:
-    """Ranges (doc_id, begin, end) of the single contexts of parts: of repeats among the contexts of each key."""
+    """Ranges (doc_id, text_key, begin, end) of the single contexts of parts: of repeats among the contexts of each key."""
     same = parts.groupBy("key", "context").agg(F.sum("n").alias("all"))
     keys = same.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("all").alias("rows"), F.min("all").alias("least")).where("rows > 1")
-    whole = parts.where("n = 1").join(same.where(F.col("all") > 1), ["key", "context"]).select("doc_id", (F.col("place") - F.col("before")).alias("begin"), (F.col("place") - F.col("before") + F.octet_length("text")).alias("end"))
-    firsts = parts.groupBy("key", "context").agg(F.min(F.struct("doc_id", "place", "before", "text")).alias("at"), F.sum("n").alias("n"))
-    rest = stored(firsts.join(keys.where("kinds > 1 and least = 1"), "key").select("key", "context", "n", "at.*", "kinds").select("key", "context", "n", "doc_id", "place", "before", "text", "kinds"), "contested")
+    whole = parts.where("n = 1").join(same.where(F.col("all") > 1), ["key", "context"]).select("doc_id", "text_key", (F.col("place") - F.col("before")).alias("begin"), (F.col("place") - F.col("before") + F.octet_length("text")).alias("end"))
+    firsts = parts.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_key", "place", "before", "text")).alias("at"), F.sum("n").alias("n"))
+    rest = stored(firsts.join(keys.where("kinds > 1 and least = 1"), "key").select("key", "context", "n", "at.*", "kinds"), "contested")
     out = whole.unionByName(_sorted(rest.where(F.col("kinds") <= MOST)))
     crowded = rest.where(F.col("kinds") > MOST)
     return out if crowded.isEmpty() else out.unionByName(_split(crowded.drop("kinds"), max(span, 1)))
 
 
 def _sorted(contexts: DataFrame) -> DataFrame:
-    own = contexts.select("key", "context", "n", "doc_id", "place", "before", "text")
-    return own.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "doc_id long, begin long, end long")
+    own = contexts.select("key", "n", "doc_id", "text_key", "place", "before", "text")
+    return own.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, _RANGE)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end): stretches of bytes of each text that are covered by LENGTH-byte strings found elsewhere too."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, text_key, begin, end): stretches of bytes of each text that are covered by LENGTH-byte strings found elsewhere too."""
     found = stored(docs.mapInArrow(_anchored, _FOUND), "anchors")
-    same = stored(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "low", "high")).alias("at")), "contexts")
+    same = stored(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place", "low", "high")).alias("at")), "contexts")
     grams = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    whole = found.join(same.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc_id", F.col("low").alias("begin"), (F.col("high") + LENGTH).alias("end"))
+    whole = found.join(same.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc_id", "text_key", F.col("low").alias("begin"), (F.col("high") + LENGTH).alias("end"))
     contested = same.join(grams, "gram").select("gram", "context", "n", "at.*", "kinds")
-    wanted = contested.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "n", "place", "low", "high")).alias("wanted"))
-    quoted = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_quoted, _CONTEXT)
+    wanted = contested.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "context", "n", "place", "low", "high")).alias("wanted"))
+    quoted = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_quoted, _CONTEXT)
     kinds = grams.select(F.col("gram").alias("key"), "kinds")
     crowded = stored(kinds.where(F.col("kinds") > MOST), "crowded")
     quoted = stored(quoted, "quoted")
@@ -284,9 +286,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     Texts are UTF-8 bytes, null as empty. Each byte goes that a LENGTH-byte string covers which also starts anywhere
-    else, in the same document too. Shorter texts lose nothing. doc_id must tell the documents apart. No rows give no rows.
+    else, in the same document too. Shorter texts lose nothing. Each row counts as a document of its own, rows that repeat
+    a doc_id or have none as well. doc_id is cast to long. No rows give no rows.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = repeated(docs).groupBy("doc_id").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "begins", "ends").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
+    with scratch(spark):
+        gone = repeated(known).groupBy("doc_id", "text_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+        gone = kept(stored(gone.select(F.col("doc_id").alias("of"), F.col("text_key").alias("at"), "begins", "ends"), "ranges"))
+    joined = docs.join(gone, (F.coalesce("doc_id", F.lit(-1).cast("long")) == F.col("of")) & (F.col("text_key") == F.col("at")), "left")
+    return joined.select("doc_id", "text", "begins", "ends").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
