@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, mix, stored, text_blocks, tokens
+from folio.llm.common import bounded_batches, kept, mix, stored, text_blocks, tokens, unused
 
 # The masks. Any two positions are left out by one of them, and, shifted within an item of 15 to 19 tokens, any three.
 MASKS = ("1011011010", "1101110100", "1001101011", "0101011101", "0011110011", "0111101100", "1110000111", "0100111110", "1010111001")
@@ -54,6 +54,22 @@ def whole(hashes: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.nd
         yield mix(every - own + np.uint64(100 + SPAN * n + j)), valid
 
 
+#: Tokens that a seed brings along: its own and SIDE on either side.
+AROUND = SPAN + 2 * SIDE
+
+
+def _around(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The AROUND tokens about each place, as bytes; places outside low to high are 0."""
+    near = at[:, None] + np.arange(-SIDE, SPAN + SIDE)
+    inside = (near >= low[:, None]) & (near < high[:, None])
+    found = np.where(inside, hashes[np.clip(near, 0, max(len(hashes) - 1, 0))], np.uint64(0))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * AROUND), len(at), [None, pa.py_buffer(np.ascontiguousarray(found))]).cast(pa.binary())
+
+
+#: Rows that carry their surroundings in one batch.
+_SLICE = 4096
+
+
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in text_blocks(batch):
@@ -66,11 +82,13 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     v = v & (sizes[owner[: len(v)]] == n)
                     found.append((h[v], np.flatnonzero(v)))
             keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            own = owner[at]
-            items = pa.array([hashes[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), batch.column("item_id").take(pa.array(own + row)), pa.array((at - first[own]).astype(np.int32)), items.take(pa.array(own))], ["key", "item_id", "item_at", "item"]
-            )
+            for k in range(0, len(keys), _SLICE):
+                here = at[k : k + _SLICE]
+                own = owner[here]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[k : k + _SLICE].view(np.int64)), batch.column("item_id").take(pa.array(own + row)), pa.array(here - first[own]), pa.array(sizes[own]), _around(hashes, here, first[own], first[own + 1])],
+                    ["key", "item_id", "item_at", "size", "item"],
+                )
 
 
 def _probing(filter_: np.ndarray, short: list[int]):
@@ -79,64 +97,77 @@ def _probing(filter_: np.ndarray, short: list[int]):
             for row, data, offsets in text_blocks(batch):
                 hashes, first = tokens(data, offsets)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                found = []
                 for h, v in [*((h, v) for _, h, v in seeds(hashes, first)), *(x for n in short for x in whole(hashes, first, n))]:
                     slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     at = np.flatnonzero(v & ((filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool))
-                    found.append((h[at], at))
-                if not found:
-                    continue
-                keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                own = owner[at]
-                near = at[:, None] + np.arange(-SIDE, SPAN + SIDE)
-                inside = (near >= first[own][:, None]) & (near < first[own + 1][:, None])
-                around = np.where(inside, hashes[np.clip(near, 0, max(len(hashes) - 1, 0))], 0).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), batch.column("doc_id").take(pa.array(own + row)), pa.array((at - first[own]).astype(np.int64)), pa.array([x.tobytes() for x in around], pa.binary())], ["key", "doc_id", "doc_at", "around"]
-                )
+                    for k in range(0, len(at), _SLICE):
+                        here = at[k : k + _SLICE]
+                        own = owner[here]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h[here].view(np.int64)), batch.column("doc_id").take(pa.array(own + row)), pa.array(here - first[own]), _around(hashes, here, first[own], first[own + 1])], ["key", "doc_id", "doc_at", "around"]
+                        )
 
     return probe
 
 
+def _tokens_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, AROUND)
+
+
+def best_stretch(doc: np.ndarray, item: np.ndarray, item_at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(equal tokens, length, first place from item_at - SIDE on) of the best stretch of each aligned pair; ties go to the first."""
+    place = item_at[:, None] - SIDE + np.arange(AROUND)
+    equal = (doc == item) & (place >= 0) & (place < size[:, None])
+    length = np.minimum(size, STRETCH)
+    low = np.maximum(0, SIDE - item_at)
+    sums = np.zeros((len(doc), AROUND + 1), np.int64)
+    np.cumsum(equal, axis=1, out=sums[:, 1:])
+    starts = np.arange(AROUND + 1)
+    ends = np.minimum(starts + length[:, None], AROUND)
+    got = np.take_along_axis(sums, ends, 1) - sums
+    most = np.minimum(AROUND, size - item_at + SIDE)
+    got[(starts < low[:, None]) | (starts + length[:, None] > np.maximum(most, low + length)[:, None])] = -1
+    at = got.argmax(1)
+    return np.take_along_axis(got, at[:, None], 1)[:, 0], length, at
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        matched, length, begin = [], [], []
-        for around, item, item_at, doc_at in zip(*(batch.column(c).to_pylist() for c in ("around", "item", "item_at", "doc_at")), strict=True):
-            item = np.array(item, np.int64).view(np.uint64)
-            size = min(len(item), STRETCH)
-            lo = max(0, item_at - SIDE)
-            hi = min(len(item), item_at + SPAN + SIDE)
-            doc = np.frombuffer(around, np.uint64)[lo - item_at + SIDE : hi - item_at + SIDE]
-            equal = np.concatenate(([0], np.cumsum(doc == item[lo:hi])))
-            sums = equal[size:] - equal[:-size] if len(equal) > size else np.zeros(1, int)
-            k = int(sums.argmax())
-            matched.append(int(sums[k])), length.append(size), begin.append(doc_at - item_at + lo + k)
-        ok = np.array([EQUAL[1] * m >= EQUAL[0] * n for m, n in zip(matched, length, strict=True)], bool)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(matched, pa.int64()), pa.array(length, pa.int64()), pa.array(begin, pa.int64())], ["doc_id", "item_id", "matched", "stretch", "begins"]).filter(pa.array(ok))
+        if not batch.num_rows:
+            continue
+        item_at, size, doc_at = (np.asarray(batch.column(c)) for c in ("item_at", "size", "doc_at"))
+        matched, length, at = best_stretch(_tokens_of(batch.column("around")), _tokens_of(batch.column("item")), item_at, size)
+        found = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(matched), pa.array(length), pa.array(doc_at - SIDE + at)], ["doc_id", "item_id", "matched", "stretch", "begins"])
+        yield found.filter(pa.array(EQUAL[1] * matched >= EQUAL[0] * length))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, stretch and begins (first token) of the best aligned stretch of each leak.
 
     Tokens are runs of letters and digits, A-Z lowered. Items of under SHORT tokens and texts without tokens, null
-    or empty, match nothing. Repeated items and documents each count. An empty table gives no rows. Only the
-    fixed-size filter of seeds goes to all tasks; documents' seeds that pass it are joined with the benchmark's.
+    or empty, match nothing. Ids are cast to long; rows that repeat one count as one document or item, those
+    without one as well. Of equally good stretches the first counts. An empty table gives no rows. Only the
+    fixed-size filter of seeds goes to all tasks; documents' seeds that pass it are joined with the benchmark's, and
+    either side brings along no more than the tokens about its seed.
     """
-    bounded_batches(docs.sparkSession)
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds, "key long, item_id long, item_at int, item array<long>"), "seeds")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = kept(stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds, "key long, item_id long, item_at long, size long, item binary"), "seeds"))
     slots = items.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot"))
     bits = slots.select(F.shiftright("slot", 3).alias("byte"), F.expr("shiftleft(1, cast(slot % 8 as int))").alias("bit"))
     got = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     filter_ = np.zeros(1 << (BITS - 3), np.uint8)
     filter_[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
-    short = [r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]
+    short = sorted(r[0] for r in items.where(F.col("size") < SPAN).select("size").distinct().collect())  # SPAN - SHORT at most
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_probing(filter_, short), "key long, doc_id long, doc_at long, around binary")
-    both = hits.join(items, "key").select("doc_id", "item_id", "doc_at", "around", "item_at", "item")
+    both = hits.join(items, "key").select("doc_id", "item_id", "doc_at", "around", "item_at", "size", "item")
     found = both.mapInArrow(_verified, "doc_id long, item_id long, matched long, stretch long, begins long")
     best = F.max_by(F.struct("matched", "stretch", "begins"), F.struct("matched", (-F.col("begins")).alias("b"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents without a leak; of rows that repeat a doc_id all or none stay, rows without one always."""
+    leaking = unused(docs.columns, "leaking")
+    gone = leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias(leaking)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(leaking), "left_anti")
