@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, stored
+from folio.llm.common import bounded_batches, kept, stored
 
 # Names of HTML and of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object select".split())
+RAW = set("script style noscript template iframe textarea title svg object select annotation annotation-xml".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = set("article body div html main section td".split())
 FURNITURE_TAGS = set("nav header footer aside form menu dialog button head fieldset label input".split()) | RAW
@@ -32,6 +32,12 @@ FURNITURE_WORDS = set(
     "aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion "
     "form search searchbox share sharing social related recommended recommendations pagination pager toolbar skip tags hidden".split()
 )
+#: Parts that may stand beside one of FURNITURE_WORDS in a name that means furniture: where or how it is laid out, not what a text is about.
+LAYOUT_WORDS = set(
+    "site page global top bottom left right first last inner outer upper lower primary secondary main blog post posts article articles entry user reader readers list lists item items link links button buttons btn box "
+    "wrap wrapper container holder area block blocks section sections row col column columns bar unit slot zone panel pane strip region group content text title heading icon icons image images img logo widget js "
+    "meta author thread body field fields input icon slider carousel grid card cards nested mobile desktop sticky fixed float floating style default count number date time children child parent level more".split()
+)
 CONTENT_WORDS = set("article content entry post story main text body".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -41,35 +47,63 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def names_furniture(name: str) -> bool:
+    """Whether one class or id, taken whole, names page furniture: site-header, commentList and ad-slot2 do, has-sidebar, alert-free and comments-open don't."""
+    parts = _WORDS.findall(_CAMEL.sub("-", name).lower())
+    return any(x in FURNITURE_WORDS for x in parts) and all(x in FURNITURE_WORDS or x in LAYOUT_WORDS for x in parts)
 
 
 class Page:
     """Elements in page order (tag, parent, path, furniture) and pieces of text (element, block, text)."""
 
     def __init__(self, html: str) -> None:
-        self.tags, self.parents, self.paths, self.furniture, self.in_link = ["#"], [-1], [""], [False], [False]
-        self.hints = [False]
+        self.tags, self.parents, self.paths, self.in_link = ["#"], [-1], [""], [False]
+        self.hints, self._sure, self._named = [False], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self._block = 0
         self._parse(html)
+        self.furniture = self._marked()
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
         got = {}
         if attrs and not attrs.isspace():
             got = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
-        names = unescape(f"{got.get('class', '')} {got.get('id', '')}").lower() if got else ""
-        told = set(_WORDS.findall(names))
+        names = unescape(f"{got.get('class', '')} {got.get('id', '')}").split() if got else []
+        told = set(_WORDS.findall(" ".join(names).lower()))
         classes = sorted(x for x in re.sub(r"\d+", "", unescape(got.get("class", "")).lower()).split() if x) if got else []
-        bad = tag in FURNITURE_TAGS or bool(told & FURNITURE_WORDS) and tag not in ("body", "html")
-        bad = bad or got.get("role", "").lower() in FURNITURE_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "").lower()))
+        sure = tag in FURNITURE_TAGS or got.get("role", "").lower() in FURNITURE_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", "").lower()))
         self.tags.append(tag)
         self.parents.append(parent)
         self.paths.append(f"{self.paths[parent]}/{'.'.join([tag, *classes])}" if tag in CONTAINER or tag in BLOCK else self.paths[parent])
-        self.furniture.append(bad or self.furniture[parent])
+        self._sure.append(sure)
+        self._named.append(tag not in ("body", "html", "main") and any(map(names_furniture, names)))
         self.in_link.append(tag == "a" or self.in_link[parent])
         self.hints.append(tag in ("article", "main") or bool(told & CONTENT_WORDS))
         return len(self.tags) - 1
 
+    def _marked(self) -> list[bool]:
+        """Which elements are furniture: by tag, role or state, or by name, unless the page's heading or main part is in them with more text than stands outside all such names."""
+        n = len(self.tags)
+        sure, named = list(self._sure), list(self._named)
+        for e in range(1, n):
+            sure[e] |= sure[self.parents[e]]
+            named[e] |= named[self.parents[e]]
+        size, held, outside = [0] * n, [False] * n, 0
+        for e, _, text in self.pieces:
+            if not sure[e]:
+                size[e] += len(text.strip())
+                outside += 0 if named[e] else len(text.strip())
+        for e in range(n - 1, 0, -1):
+            held[e] |= self.tags[e] in ("h1", "main") and not sure[e]
+            held[self.parents[e]] |= held[e]
+            size[self.parents[e]] += size[e]
+        for e in range(1, n):
+            sure[e] |= sure[self.parents[e]] or self._named[e] and not (held[e] and size[e] > outside)
+        return sure
+
     def _text(self, at: int, text: str) -> None:
         if text:
             self.pieces.append((at, self._block, text))
@@ -209,12 +243,14 @@ def consensus_paths(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used, of every page.
 
-    Null or empty html, and pages of furniture alone, give an empty text. A null url counts as one host. Rows that
-    repeat a page_id give a row each. No rows give no rows.
+    Null or empty html, and pages of furniture alone, give an empty text. A null url counts as one host, and of a host's
+    paths with equally many votes the smaller wins. Rows that repeat a page_id or have none give a row each; page_id is
+    cast to long. No rows give no rows. Only page_id, url and html are read. Furniture is told by whole names of
+    classes and ids (names_furniture()); formulas stay, but not their annotations.
     """
-    bounded_batches(pages.sparkSession, 128)
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    winners = stored(consensus_paths(pages).select("host", "path"), "paths")
+    winners = kept(stored(consensus_paths(pages).select("host", "path"), "paths"))
     joined = pages.mapInArrow(_hosted, "page_id long, url string, html string, host string").join(winners, "host", "left")
     got = joined.select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, path string")
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
