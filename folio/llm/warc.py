@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import bounded_batches, shared_dir, stored
+from folio.llm.common import BLOCK, bounded_batches, kept, new_path, scratch, stored
 
 # The names of the fields of record lines by version, and the profile of revisits.
 ARC_FIELDS = {
@@ -30,7 +30,7 @@ ARC_FIELDS = {
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 #: Bytes of records that one archive file holds, about.
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 8 << 20
 
 
 class ArchiveError(ValueError):
@@ -50,11 +50,11 @@ def arc_bytes(records: list[ArcRecord], version: int, name: str = "pages.arc") -
     """An ARC file of the given version."""
     head = f"{version} 0 folio\n{' '.join(ARC_FIELDS[version])}\n\n".encode()
     out = [f"filedesc://{name} 0.0.0.0 19960923142103 text/plain ".encode() + (b"" if version == 1 else f"200 - - 0 {name} ".encode()) + f"{len(head)}\n".encode() + head]
+    at = len(out[0])
     for r in records:
-        checksum = hashlib.md5(r.block).hexdigest()
-        at = sum(map(len, out))
-        middle = [] if version == 1 else ["200", checksum, "-", str(at), name]
+        middle = [] if version == 1 else ["200", hashlib.md5(r.block).hexdigest(), "-", str(at), name]
         out.append(" ".join([r.url, r.ip, r.date, r.content_type, *middle, str(len(r.block))]).encode() + b"\n" + r.block + b"\n")
+        at += len(out[-1])
     return b"".join(out)
 
 
@@ -98,8 +98,8 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(row: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}')}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -117,15 +117,27 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block[: cut + 4], block[cut + 4 :]) if cut >= 0 else (block, b"")
 
 
-def warc_record(arc: ArcRecord, row: int, refers_to: int | None) -> bytes:
-    """The WARC record, without its closing blank lines, of an ARC record; a revisit keeps the HTTP header only."""
+def row_of(block: bytes) -> int | None:
+    """The number that the HTTP header of a block gives its page, if any."""
+    found = _ROW.search(split_http(block)[0])
+    return int(found[1]) if found else None
+
+
+_ROW = re.compile(rb"^X-Row: (-?\d+)\r$", re.M)
+
+
+def warc_record(arc: ArcRecord, name: str, row: int | None, refers_to: int | None) -> bytes:
+    """The WARC record, without its closing blank lines, of an ARC record; a revisit keeps the HTTP header only.
+
+    A page that has a number is named by it, others by name.
+    """
     head, payload = split_http(arc.block)
     http = bool(head)
     block = head if refers_to is not None else arc.block
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response' if http else 'resource'}",
-        f"WARC-Record-ID: {record_id(row)}",
+        f"WARC-Record-ID: {record_id(name if row is None else f'row:{row}')}",
         f"WARC-Date: {warc_date(arc.date)}",
         f"WARC-Target-URI: {arc.url}",
         f"WARC-IP-Address: {arc.ip}",
@@ -133,10 +145,11 @@ def warc_record(arc: ArcRecord, row: int, refers_to: int | None) -> bytes:
         f"WARC-Block-Digest: sha1:{digest(block)}",
         f"Content-Type: {'application/http; msgtype=response' if http else arc.content_type}",
         f"X-Payload-Length: {len(payload)}",
-        f"X-Row: {row}",
     ]
+    if row is not None:
+        lines.append(f"X-Row: {row}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Row: {refers_to}", "WARC-Truncated: length"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(f'row:{refers_to}')}", f"X-Refers-To-Row: {refers_to}", "WARC-Truncated: length"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode("utf-8", "replace") + END + block
 
@@ -161,33 +174,128 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size
 
 
-def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row as a legacy ARC file of its version, converted to a WARC record."""
+_ARC_RECORD = "name string, url string, ip string, date string, type string, block binary"
+
+
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as the text of ARC files of about ARCHIVE_BYTES, of either version in turn."""
+    records, size, version = [], 0, 1
     for batch in batches:
-        out = []
-        for row, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+        for row, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
-            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-            source = ArcRecord(re.sub(r"[\r\n]", "", url or "urn:none"), "0.0.0.0", "20240101000000", "text/html", head + payload)
-            arc = next(read_arc(arc_bytes([source], 1 + row % 2)))
-            out.append(warc_record(arc, row, refers).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], ["value"])
+            number = "" if row is None else f"X-Row: {row}\r\n"
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{number}Content-Length: {len(payload)}\r\n\r\n".encode()
+            records.append(ArcRecord(re.sub(r"[\r\n]", "", url or "urn:none"), "0.0.0.0", "20240101000000", "text/html", head + payload))
+            size += len(payload)
+            if size >= ARCHIVE_BYTES:
+                yield _text(arc_bytes(records, version))
+                records, size, version = [], 0, 3 - version
+    if records:
+        yield _text(arc_bytes(records, version))
+
+
+def _text(*values: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "surrogatepass") for x in values], pa.string())], ["value"])
+
+
+def write_arcs(pages: DataFrame, path: str) -> None:
+    """Writes pages (page_id, url, html) as gzipped ARC files of either version."""
+    bounded_batches(pages.sparkSession)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages.mapInArrow(_filed, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def _unzipped(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+        data = content.as_py()
+        data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+        if data:
+            yield path, data
+
+
+def _records(data: bytes, path: str) -> Iterator[tuple[str, ArcRecord]]:
+    for k, record in enumerate(read_arc(data)):
+        yield f"{path.rpartition('/')[2]}:{k}", record
+
+
+def _read_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in _unzipped(batch):
+            own: list[tuple] = []
+            size = 0
+            for name, r in _records(data, path):
+                own.append((name, r.url, r.ip, r.date, r.content_type, r.block))
+                size += len(r.block)
+                if size > BLOCK:
+                    yield _rows(own)
+                    own, size = [], 0
+            yield _rows(own)
+
+
+def _rows(own: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], kind) for k, kind in enumerate(kinds)], ["name", "url", "ip", "date", "type", "block"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in _unzipped(batch):
+            own = [(name, row_of(r.block), split_http(r.block)[1]) for name, r in _records(data, path)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.int64()), pa.array([digest(x[2]) for x in own], pa.string()), pa.array([len(x[2]) for x in own], pa.int64())], ["name", "row", "digest", "size"]
+            )
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url, ip, date, type, block): the records of the ARC files in path; name is the file's with the record's number."""
+    bounded_batches(spark)
+    return _files(spark, path).mapInArrow(_read_arcs, _ARC_RECORD)
+
+
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("name", "url", "ip", "date", "type", "block", "refers_to"))
+        yield _text(*(warc_record(ArcRecord(*arc), name, row_of(arc[-1]), refers) for name, *arc, refers in zip(*columns, strict=True)))
+
+
+def revisits(sums: DataFrame, least: int = 0) -> DataFrame:
+    """(name, refers_to) of the records whose payload, of at least so many bytes, one with a larger row has too: the largest such row."""
+    shared = sums.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("row").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return sums.join(shared, ["digest", "size"]).where("row < refers_to").select("name", "refers_to")
+
+
+def convert_arcs(spark: SparkSession, source: str, path: str, least: int = 0) -> None:
+    """Converts the ARC files in source to gzipped WARC files of about ARCHIVE_BYTES before compression.
+
+    A WARC file is written as a text file whose lines end in the blank lines that close a record. Records whose HTTP header
+    gives no X-Row number are responses (or resources, without such a header), never revisits.
+    """
+    bounded_batches(spark)
+    with scratch(spark):
+        sums = stored(_files(spark, source).mapInArrow(_summed, "name string, row long, digest string, size long"), "sums")
+        size = sums.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+        each = (size["b"] or 0) / max(size["n"], 1) + 600
+        records = read_arcs(spark, source).join(revisits(sums, least), "name", "left").mapInArrow(_converted, "value string")
+        records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[dict] = []
-        for content in batch.column("content"):
-            data = content.as_py()
-            for headers, block in read_warc(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data):
+        for _, data in _unzipped(batch):
+            rows: list[dict] = []
+            for headers, block in read_warc(data):
                 revisit = headers["warc-type"] == "revisit"
                 payload = None if revisit else split_http(block)[1]
                 found = headers["warc-payload-digest"].removeprefix("sha1:")
                 if payload is not None and digest(payload) != found:
-                    raise ArchiveError(f"row {headers['x-row']}: the payload isn't that of its digest")
+                    raise ArchiveError(f"{headers['warc-record-id']}: the payload isn't that of its digest")
                 rows.append(
                     {
-                        "page_id": int(headers["x-row"]),
+                        "page_id": int(headers["x-row"]) if "x-row" in headers else None,
                         "payload_bytes": len(payload) if payload is not None else int(headers["x-payload-length"]),
                         "payload_digest": found,
                         "record_type": headers["warc-type"],
@@ -197,44 +305,29 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "record_id": headers["warc-record-id"],
                     }
                 )
-        yield pa.RecordBatch.from_pylist(rows, _READ)
+            yield pa.RecordBatch.from_pylist(rows, _READ)
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("record_id", pa.string())])
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string"
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages with refers_to: of equal payloads of at least so many bytes the largest page_id, for the others."""
-    keyed = pages.withColumn("_sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("_size", F.octet_length(F.coalesce("html", F.lit(""))))
-    shared = keyed.where(F.col("_size") >= least).groupBy("_sha", "_size").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(shared, ["_sha", "_size"], "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("_kept"), F.col("_kept"))).drop("_sha", "_size", "_kept")
-
-
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes gzipped WARC files of about ARCHIVE_BYTES before compression: a text file whose lines end in the blank lines that close a record.
-
-    Null html is an empty payload and a null url is urn:none. page_id must be given and tell the rows apart.
-    """
-    bounded_batches(pages.sparkSession, 128)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b")).first()
-    each = (size["b"] or 0) / max(size["n"], 1) + 600
-    records = with_revisits(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(_converted, "value string")
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in path; digests of responses are checked against their payloads."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parsed, READ)
+    """One row per record of the WARC files in path; digests of responses are checked against their payloads."""
+    bounded_batches(spark)
+    return _files(spark, path).mapInArrow(_parsed, READ)
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """The rows of pages as read back from the archives written of them. No rows give no rows."""
-    spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex[:12]}"
-    write_archives(pages, path)
-    return stored(read_archives(spark, path), "records")
+    """The rows of pages as read back from WARC files, to which ARC files written of them were converted.
 
+    Null html is an empty payload and a null url is urn:none. Of equal payloads the largest page_id, and each row that
+    repeats it, is a response; rows without a page_id are responses too. page_id is cast to long. No rows give no rows.
+    Only page_id, url and html are read. The archives are deleted.
+    """
+    spark = pages.sparkSession
+    with scratch(spark):
+        arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")
+        write_arcs(pages, arcs)
+        convert_arcs(spark, arcs, warcs)
+        return kept(stored(read_archives(spark, warcs), "records"))
