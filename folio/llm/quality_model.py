@@ -131,9 +131,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
-    """Learns from about most labelled rows (drawn by a hash of doc_id) among those whose labels may be used."""
+    """Learns from about most labelled rows (drawn by a hash of doc_id) among those whose labels may be used.
+
+    What reaches the driver of a text are N_FEATURES numbers for each PASSAGE of its words, no text. Rows of labels that
+    repeat a doc_id count once, with the larger label; those without one or without a label don't count. Rows of docs that
+    repeat a doc_id are texts of their own, all with its label. Null and empty texts are one passage of zeros.
+    """
     bounded_batches(docs.sparkSession)
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").dropDuplicates(["doc_id"])
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labels = labels.where(~held_out(F.col("doc_id")))
     n = labels.count()
     if n > most:
@@ -141,16 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels, "doc_id").select("quality", "text", "doc_id")
     got = rows.mapInArrow(_bags, "quality int, bag binary").toArrow()
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in got.column("bag").to_pylist()]
-    order = sorted(range(len(bags)), key=lambda i: bags[i].tobytes()[:4096])  # rows come in no fixed order
     label = got.column("quality").to_numpy().astype(float)
+    order = sorted(range(len(bags)), key=lambda i: (bags[i].tobytes(), label[i]))  # rows come in no fixed order
     begin = np.concatenate(([0], np.cumsum([len(bags[i]) for i in order]))).astype(np.int64)
     return train(np.concatenate([bags[i] for i in order]).astype(float) if bags else np.zeros((0, N_FEATURES)), begin, label[order] if bags else label)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The given columns with score (0 to 1, higher: better), of every row and its whole text.
+    """The given columns with score (0 to 1, higher: better; a column of this name is replaced), of every row and its whole text.
 
-    Null and empty texts have the score of one passage without words. No rows give no rows.
+    Null and empty texts have the score of one passage without words. Repeated rows have equal scores. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != "score"]

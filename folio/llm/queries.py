@@ -38,7 +38,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.rated(_table(spark, sf_dir, "documents"))
+    return rules.rated(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_quality, op4_warc, op5_rules, op6_suffix, op7_html, op8_lines, op9_decontaminate, op10_mixing)}
-ORACLES = {"op10_mixing": mixing.SQL}
+ORACLES = {"op5_rules": rules.SQL, "op10_mixing": mixing.SQL}
