@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folio.llm import decontaminate, html, lines, minhash, mixing, quality_model, rules, suffix, toxicity, warc
+from folio.llm import components, decontaminate, html, lines, minhash, mixing, quality_model, rules, suffix, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, label string, n long"
 
@@ -259,3 +259,70 @@ def test_classifiers(spark, name):
     assert np.mean(right) > 0.95
     nothing = module.fit(docs.limit(0), marks.limit(0))
     assert module.score(docs, nothing).count() == 602
+
+
+def test_clashing_columns(spark):
+    names = ["gone", "marks", "of_doc", "of_text", "n_lines", "leaking", "queue", "run", "key", "tie", "before", "ends", "_source", "path", "score"]
+    rows = [(1, "a line that is long enough\nother", "s", *names), (2, "a line that is long enough", None, *names), (2, "a text of its own", "s", *names), (None, None, None, *names)]
+    table = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{c} string' for c in names)}")
+    bench = spark.createDataFrame([(1, "a line that is long enough")], "item_id long, text string")
+    kept = lambda df, *but: all(r[c] == c for r in df.collect() for c in names if c not in but)
+    got = lines.deduplicated(table)
+    assert got.columns == [c for c in table.columns if c != "n_lines"] + ["n_lines", "n_gone", "n_links"] and kept(got, "n_lines")
+    assert sorted((r["text"] or "", r["n_lines"], r["n_gone"]) for r in got.collect()) == [("", 0, 0), ("", 1, 1), ("a line that is long enough\nother", 2, 0), ("a text of its own", 1, 0)]
+    mixed = mixing.mixed(table)
+    assert mixed.count() == 4 and kept(mixed) and kept(mixing.served(mixed))
+    clean = decontaminate.clean(table, bench)
+    assert clean.columns == table.columns and kept(clean) and [r["doc_id"] for r in clean.collect()] == [None]
+    scored = toxicity.score(table, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -4.0))
+    assert scored.count() == 4 and kept(scored, "score")
+
+
+def test_mix_order_and_budget(spark):
+    """Words taken against a sort of all turns, and the order that the mix is served in."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(rng.choice((0, 1, 3, 40, 400)))), rng.choice((None, "a", "b", "c")) if i else "rare") for i in range(900)]
+    rows += rows[:5]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(table).collect()
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    total = sum(size.values())
+    turns = []
+    for r in got:
+        for e in range(3):
+            if r["size"]:
+                end = r["virtual_finish"] * r["target"]
+                turns.append(((2 * (e * r["source_size"] + end) - r["size"]) / (2 * r["target"]), r["size"]))
+    want, run = 0, 0
+    for _, n in sorted(turns):
+        run += n
+        if 2 * run - n > 2 * total:
+            break
+        want = run
+    assert sum(r["taken"] for r in got) == pytest.approx(want, abs=400) and abs(want - total) <= 400
+    served = mixing.served(mixing.mixed(table)).collect()
+    assert [r["virtual_finish"] for r in served] == sorted(r["virtual_finish"] for r in served) and len(served) == sum(r["copies"] > 0 for r in got)
+
+
+def test_components_of_many_shapes(spark):
+    rng = random.Random(12)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000 + rng.randrange(400), 5000 + rng.randrange(400)) for _ in range(300)] + [(7, 7), (9, 8)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    own = {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    for chunk in (200_000, 10):
+        components.CHUNK = chunk
+        got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
+        assert dict(map(tuple, got.collect())) == own
+    components.CHUNK = 200_000
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
