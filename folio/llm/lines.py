@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import SpanHasher, bloom, bounded_batches, in_bloom, kept, mix, scratch, span_hashes, stored, text_blocks, unused, words
+from folio.llm.common import _BLANK, SpanHasher, bloom, bounded_batches, in_bloom, kept, looked_up, mix, scratch, stored, text_blocks, unused
 from folio.llm.components import components
 
 EDITS = 2
@@ -78,19 +79,43 @@ def line_list(text: str | None) -> list[str]:
 #: A bit by lead byte; the bytes that continue a code point have none.
 _BAG = np.left_shift(np.uint64(1), mix(np.arange(256, dtype=np.uint64)) & np.uint64(63))
 _BAG[0x80:0xC0] = 0
+#: A bit by the lead bytes of two neighbours.
+_PAIR = np.uint64(1) << (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(58))
 #: log2 of the bits of the filters, whose size doesn't depend on the data.
 BITS = 27
 
 
+#: Blanks at either end of a line that are passed over one by one.
+_STEPS = 16
+
+
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, line number, start, end) of the lines with a word, stripped of blanks."""
-    starts, ends, first = words(data, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts)  # counted through the block
-    head = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])))) if len(starts) else np.zeros(0, int)
-    tail = np.append(head[1:], len(starts))[: len(head)] - 1
-    return row[head], line[head] - np.searchsorted(breaks, offsets[:-1])[row[head]], starts[head], ends[tail]
+    begin = np.concatenate((offsets[:-1], breaks + 1))
+    begin.sort(kind="stable")
+    start, end, inner = begin.copy(), np.append(begin[1:], len(data)), None  # the break itself goes as a blank
+    live = np.flatnonzero(start < end)
+    for _ in range(_STEPS):
+        live = live[_BLANK[data[start[live]]]]
+        start[live] += 1
+        live = live[start[live] < end[live]]
+    live = live[_BLANK[data[start[live]]]]
+    if len(live):
+        inner = np.append(np.flatnonzero(~_BLANK[data]), len(data))
+        start[live] = inner[np.searchsorted(inner, start[live])]
+    own = np.flatnonzero(start < end)  # they have a word, which ends the way back
+    begin, start, end = begin[own], start[own], end[own]
+    live = np.arange(len(own))
+    for _ in range(_STEPS):
+        live = live[_BLANK[data[end[live] - 1]]]
+        end[live] -= 1
+    live = live[_BLANK[data[end[live] - 1]]]
+    if len(live):
+        inner = np.flatnonzero(~_BLANK[data]) if inner is None else inner
+        end[live] = inner[np.searchsorted(inner, end[live]) - 1] + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    return row, np.searchsorted(breaks, begin) - np.searchsorted(breaks, offsets[:-1])[row], start, end
 
 
 class _Long:
@@ -110,16 +135,20 @@ class _Long:
         own = self.hashed(self.at[a], self.at[a + size])
         return mix(own + mix(of.astype(np.uint64) * np.uint64(EDITS + 1) + np.uint64(k)))
 
-    def bags(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parities of the code points of each line, and of their pairs of neighbours, by first bytes."""
-        if not len(self.h):
+    def bags(self, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Parities of the code points of each line, or of the lines named, and of their pairs of neighbours, by first bytes."""
+        data, from_, to, begin, length, lead = self.data, self.from_, self.to, self.begin, self.length, self.at[:-1]
+        if rows is not None:  # their bytes only
+            size, length = to[rows] - from_[rows], length[rows]
+            to, stop = np.cumsum(size), np.cumsum(length)
+            data = data[np.repeat(from_[rows] - (to - size), size) + np.arange(size.sum())]
+            from_, begin, lead = to - size, stop - length, np.flatnonzero((data & 0xC0) != 0x80)
+        if not len(length):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends = np.stack([self.from_, self.to], 1).ravel()
-        one = np.bitwise_xor.reduceat(np.append(_BAG[self.data], np.uint64(0)), ends)[::2]
-        first = self.data[self.at[:-1]].astype(np.uint64)
-        pair = np.uint64(1) << (mix(first[:-1] * np.uint64(256) + first[1:]) >> np.uint64(58))
-        ends = np.stack([self.begin, self.begin + self.length - 1], 1).ravel()
-        two = np.bitwise_xor.reduceat(np.append(pair, [np.uint64(0)] * 2), ends)[::2]
+        one = np.bitwise_xor.reduceat(looked_up(_BAG, data, 1), np.stack([from_, to], 1).ravel())[::2]
+        first = data[lead].astype(np.uint16)
+        pair = looked_up(_PAIR, (first[:-1] << np.uint16(8)) | first[1:], 2)
+        two = np.bitwise_xor.reduceat(pair, np.stack([begin, begin + length - 1], 1).ravel())[::2]
         return one.view(np.int64), two.view(np.int64)
 
 
@@ -157,7 +186,6 @@ def _probing(once: np.ndarray, twice: np.ndarray):
                 h = hashed(start, end)
                 new = np.sort(np.unique(h, return_index=True)[1])  # a line that the block repeats probes once
                 lines = _Long(data, hashed, start[new], end[new], h[new])
-                bags, twos = lines.bags()
                 keys, rows = [], []
                 for less, k, own, at, size in probes(lines.length):
                     key = lines.keys(own, at, size, lines.length[own] - less, k)
@@ -165,7 +193,9 @@ def _probing(once: np.ndarray, twice: np.ndarray):
                     ok = np.where(itself, in_bloom(twice, key), in_bloom(once, key))
                     keys.append(key[ok]), rows.append(own[ok])
                 key, own = np.concatenate(keys), np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[own]), pa.array(bags[own]), pa.array(twos[own])], ["key", "h", "bag", "pairs"])
+                met, own = np.unique(own, return_inverse=True)
+                bags, twos = lines.bags(met)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.h.view(np.int64)[met][own]), pa.array(bags[own]), pa.array(twos[own])], ["key", "h", "bag", "pairs"])
 
     return probe
 
@@ -177,7 +207,7 @@ def _has_line(wanted: np.ndarray):
         for batch in batches:
             for _, data, offsets in text_blocks(batch):
                 _, _, start, end = _spans(data, offsets)
-                h = span_hashes(data, start, end)
+                h = SpanHasher(data)(start, end)
                 at = np.flatnonzero(in_bloom(wanted, h))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at], end[at], strict=True)], pa.string())], ["h", "line"])
@@ -245,14 +275,16 @@ def _kept_text(marks: str):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, gone = batch.schema.get_field_index("text"), batch.column(marks)
+            some = pc.fill_null(pc.greater(pc.list_value_length(gone), 0), False)
             texts = []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column(marks).to_pylist(), strict=True):
-                if gone:
-                    gone = set(gone)
-                    text = "\n".join(x for k, x in enumerate(line_list(text)) if k not in gone)
-                texts.append(text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for text, own in zip(batch.column(at).filter(some).to_pylist(), gone.filter(some).to_pylist(), strict=True):
+                own = set(own)
+                texts.append("\n".join(x for k, x in enumerate(line_list(text)) if k not in own))
+            if texts:
+                field = batch.schema.field(at)
+                batch = batch.set_column(at, field, pc.replace_with_mask(batch.column(at), some, pa.array(texts, field.type)))
+            yield batch
 
     return keep
 
