@@ -28,6 +28,8 @@ from folio.llm.common import WORD, bounded_batches, mix, rolled, unused
 SHORTEST = 12
 #: Equal words that any run shares with itself shifted by its period, at least: max(SHORTEST - q, q) for a period of q.
 SEED = SHORTEST // 2
+#: Words of a part up to which its periods are tried one by one; beyond, all at once.
+FEW = 160
 RUNS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")]))
 
 
@@ -54,81 +56,115 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
-def _crossing(own: list[int], lo: int, mid: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _crossing(own: list[int], lo: int, mid: int, hi: int) -> list[tuple[int, int, int]]:
     """(start, end, period) of the repetitions of own[lo:hi] around mid, at least two periods and SHORTEST long, as far as they go within."""
     nl, nr = mid - lo, hi - mid
-    part, right = own[lo:hi], own[mid:hi]
-    ahead = np.array(z_function([*right, -1, *part]))  # equal words from a place on and from mid on
-    back = np.array(z_function([*part[:nl][::-1], -1, *part[::-1]]))  # equal words up to a place and up to mid
+    part = own[lo:hi]
+    ahead = z_function([*part[nl:], -1, *part])  # from nr + 1 on: equal words from a place and from mid on
+    back = z_function([*part[:nl][::-1], -1, *part[::-1]])  # from nl + 1 on, from the end: equal words up to a place and up to mid
+    if nl + nr > FEW:
+        return _far_crossing(np.array(ahead), np.array(back), lo, mid, hi)
+    found = []
+    for q in range(1, nr + 1):  # the words from mid on equal those q to the right, and those before mid
+        forth = ahead[nr + 1 + nl + q] if q < nr else 0
+        behind = back[nl + 1 + nr - q] if q < nr or nl else 0
+        n = behind + q + forth
+        if n >= SHORTEST and n >= 2 * q:
+            found.append((mid - behind, mid + q + forth, q))
+    for q in range(1, nl + 1):  # those q to the left
+        forth = ahead[nr + 1 + nl - q]
+        behind = back[nl + 1 + nr + q] if q < nl else 0
+        n = behind + q + forth
+        if n >= SHORTEST and n >= 2 * q:
+            found.append((mid - q - behind, mid + forth, q))
+    return found
+
+
+def _far_crossing(ahead: np.ndarray, back: np.ndarray, lo: int, mid: int, hi: int) -> list[tuple[int, int, int]]:
+    """The same for a longer part, all periods at once."""
+    nl, nr = mid - lo, hi - mid
     found = []
-    # The place that equals mid lies q to the right of it, or q to the left.
     for shift, most in ((1, nr), (-1, nl)):
         q = np.arange(1, most + 1)
         at = nl + shift * q  # within the part; its end may be hi
-        forth = np.zeros(most, np.int64)
-        inside = at < nl + nr
-        forth[inside] = ahead[nr + 1 + at[inside]]
-        past = nl + 1 + (nl + nr - at)
-        behind = np.zeros(most, np.int64)
-        inside = past < len(back)
-        behind[inside] = back[past[inside]]
+        forth = np.append(ahead[nr + 1 :], 0)[at]
+        behind = np.append(back[nl + 1 :], 0)[nl + nr - at]
         start, stop = np.minimum(at, nl) - behind, np.maximum(at, nl) + forth
         good = (stop - start >= 2 * q) & (stop - start >= SHORTEST)
-        found.append((start[good] + lo, stop[good] + lo, q[good]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        found += zip((start[good] + lo).tolist(), (stop[good] + lo).tolist(), q[good].tolist(), strict=True)
+    return found
+
 
+def _stretches(ids: np.ndarray) -> list[tuple[int, int]]:
+    """The longest stretches of words covered by windows of SEED words that come twice or more in the stretch.
 
-def _stretches(ids: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The longest stretches of words covered by windows of SEED words that come twice or more; equal hashes of other windows only lengthen them."""
+    Equal hashes of other windows only lengthen them. A window whose likes all lie in other stretches isn't part of a run, for
+    a run covers all words between its copies; what goes with it may part a stretch, so this is done again until none goes.
+    """
     seeds = rolled(mix(ids.astype(np.uint64)), SEED)
     if not len(seeds):
-        return
-    order = np.argsort(seeds, kind="stable")
+        return []
+    order = np.argsort(seeds, kind="stable")  # likes stand together, from left to right
     same = seeds[order[1:]] == seeds[order[:-1]]
-    if not same.any():
-        return
-    change = np.zeros(len(ids) + 1, np.int64)
-    again = np.zeros(len(seeds), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    change[: len(seeds)] += again
-    change[SEED : SEED + len(seeds)] -= again
-    covered = np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False]))
-    edges = np.flatnonzero(covered[1:] != covered[:-1])
-    yield from ((int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= SHORTEST)
+    one, two = order[:-1][same], order[1:][same]
+    while len(one):
+        change = np.zeros(len(ids) + 1, np.int64)
+        again = np.zeros(len(seeds), bool)
+        again[one] = again[two] = True
+        change[: len(seeds)] += again
+        change[SEED : SEED + len(seeds)] -= again
+        covered = np.concatenate(([False], np.cumsum(change[:-1]) > 0, [False]))
+        edges = np.flatnonzero(covered[1:] != covered[:-1])
+        first = edges[::2]
+        near = np.searchsorted(first, one, "right") == np.searchsorted(first, two, "right")
+        if near.all():
+            return [(int(a), int(b)) for a, b in zip(first, edges[1::2], strict=True) if b - a >= SHORTEST]
+        one, two = one[near], two[near]
+    return []
+
+
+def _within(own: list[int]) -> dict[tuple[int, int], int]:
+    """{(start, end): period} of the runs of a stretch.
+
+    What lies inside a long run of period q, beyond its first q words and short of its end, comes q words earlier too. Parts
+    that are inside so are not searched; runs found in the first period are copied instead, until no run copies another.
+    """
+    found: dict[tuple[int, int], int] = {}
+    spared: dict[tuple[int, int], int] = {}
+    todo: list[tuple[int, int, list[tuple[int, int, int]]]] = [(0, len(own), [])]
+    n = len(own)
+    while todo:
+        lo, hi, long = todo.pop()
+        mid = (lo + hi) // 2
+        for start, stop, q in _crossing(own, lo, mid, hi):
+            # Neighbours outside the part must not go on with the period; within it none does.
+            if start == lo and start > 0 and own[start - 1] == own[start - 1 + q] or stop == hi and stop < n and own[stop] == own[stop - q]:
+                continue
+            if q < found.get((start, stop), n):
+                found[start, stop] = q
+                if stop - start > q + SHORTEST:
+                    long = [*long, (start, stop, q)]
+        for a, b in ((lo, mid), (mid, hi)):
+            if b - a < SHORTEST:
+                continue
+            around = next(((start, stop) for start, stop, q in long if start + q < a and b < stop), None)
+            if around is None:
+                todo.append((a, b, [r for r in long if r[0] + r[2] < b and a < r[1]]))
+            else:
+                spared[around] = found[around]
+    before = -1
+    while before < len(found):  # what one run copies may lie in the first period of another
+        before = len(found)
+        for (start, stop), q in sorted(spared.items(), key=lambda r: r[1]):
+            for (a, b), p in [r for r in found.items() if start < r[0][0] <= start + q and r[0][1] < stop]:
+                found |= {(a + k, b + k): p for k in range(q, stop - b, q)}
+    return found
 
 
 def runs_of(ids: list[int]) -> np.ndarray:
     """The runs of interned words, as rows (start, length, period) by start, then period."""
-    all_ = np.array(ids, np.int64)
-    found = []
-    for first, last in _stretches(all_):
-        own, todo = ids[first:last], [(0, last - first)]
-        array = all_[first:last]
-        while todo:
-            lo, hi = todo.pop()
-            if hi - lo < SHORTEST:
-                continue
-            mid = (lo + hi) // 2
-            todo += [(lo, mid), (mid, hi)]
-            start, stop, q = _crossing(own, lo, mid, hi)
-            if not len(q):
-                continue
-            # Neighbours outside the part must not go on with the period; within it none does.
-            longer = (start == lo) & (start > 0)
-            longer[longer] = array[start[longer] - 1] == array[start[longer] - 1 + q[longer]]
-            after = (stop == hi) & (stop < len(own))
-            after[after] = array[stop[after]] == array[stop[after] - q[after]]
-            whole = ~(longer | after)
-            if whole.any():
-                found.append(np.stack([start[whole] + first, stop[whole] - start[whole], q[whole]], 1))
-    if not found:
-        return np.zeros((0, 3), np.int64)
-    rows = np.concatenate(found)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    least = np.ones(len(rows), bool)
-    least[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-    rows = rows[least]
-    return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    rows = [(first + start, stop - start, q) for first, last in _stretches(np.array(ids, np.int64)) for (start, stop), q in _within(ids[first:last]).items()]
+    return np.array(sorted(rows, key=lambda r: (r[0], r[2])), np.int64).reshape(-1, 3)
 
 
 def _collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
