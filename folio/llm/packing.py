@@ -33,7 +33,7 @@ CAPACITY = 1024
 #: Width of the model whose cost is estimated.
 WIDTH = 768
 #: Remainders that are packed together, about; at most 2 MB of ids a 1000.
-GROUP = 16384
+GROUP = 4096
 #: Bits of a piece's number within its task or group.
 _BITS = 36
 
