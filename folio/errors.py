@@ -6,8 +6,8 @@ class IngestionError(Exception):
 
 
 class RetrievalError(Exception):
-    """Sections could not be searched."""
+    """Sections could not be searched: an index is missing or was made for other tables."""
 
 
-class ModelError(Exception):
-    """A model could not be asked."""
+class ModelError(ValueError):
+    """A model could not be asked, or its reply holds nothing."""

@@ -10,14 +10,14 @@ from folio.functions.text import PAGE_MARKER
 _PAGES = "ARRAY<STRUCT<page: BIGINT, md: STRING, text: STRING, success: BOOLEAN>>"
 
 
-def normal(pages: DataFrame) -> DataFrame:
+def normal(pages: DataFrame, *more: str) -> DataFrame:
     """(doc_id, page, md): pages that were parsed (success true or not told); without markdown their plain text, else nothing.
 
-    Reads doc_id, page and md, and text and success where they exist.
+    Reads doc_id, page and md, and text and success where they exist; those of the columns more that exist are passed on.
     """
     has = set(pages.columns)
     parsed = pages.where(F.coalesce("success", F.lit(True))) if "success" in has else pages
-    return parsed.select("doc_id", F.col("page").cast("long").alias("page"), F.coalesce("md", *(["text"] if "text" in has else []), F.lit("")).alias("md"))
+    return parsed.select("doc_id", F.col("page").cast("long").alias("page"), F.coalesce("md", *(["text"] if "text" in has else []), F.lit("")).alias("md"), *(c for c in more if c in has))
 
 
 def from_json(results: DataFrame) -> DataFrame:

@@ -1,57 +1,19 @@
-"""Rankers of sections and answerers: the two places where a model may be asked, each a function of its own."""
+"""Rankers of sections and answerers: the two places where a model may be asked, each a function of its own. replies.asked() asks them."""
 
 from __future__ import annotations
 
 import json
-import threading
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from folio.errors import ModelError
 
 #: Takes a prompt, gives the reply or None.
 NodeRanker = Callable[[str], str | None]
 #: Takes a prompt and base64 images, gives the answer or None.
 Answerer = Callable[[str, list[str]], str | None]
-#: Seconds that a ranker may take for a prompt.
-TIMEOUT = 15.0
-
-
-def in_time(call: Callable[[], str | None], seconds: float) -> str | None:
-    """What the call returns; None if it fails or takes longer. A call that takes longer is left to end by itself."""
-    got: list[str | None] = []
-
-    def run() -> None:
-        try:
-            got.append(call())
-        except Exception:  # noqa: BLE001  a ranker that fails is as one that says nothing
-            got.append(None)
-
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    return got[0] if got else None
-
-
-def replies(prompts: DataFrame, ranker: NodeRanker, timeout: float = TIMEOUT) -> DataFrame:
-    """(query_id, doc_id, raw): a ranker's reply to each prompt (query_id, doc_id, prompt), null where it has none in time."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"query_id": frame["query_id"], "doc_id": frame["doc_id"], "raw": [in_time(lambda p=p: ranker(p), timeout) for p in frame["prompt"]]})
-
-    return prompts.select("query_id", "doc_id", "prompt").mapInPandas(ask, "query_id long, doc_id long, raw string")
-
-
-def answers(prompts: DataFrame, answerer: Answerer) -> DataFrame:
-    """(query_id, doc_id, answer): an answerer's reply to each prompt (query_id, doc_id, prompt, images)."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"query_id": frame["query_id"], "doc_id": frame["doc_id"], "answer": [answerer(p, list(x) if x is not None else []) for p, x in zip(frame["prompt"], frame["images"], strict=True)]})
-
-    return prompts.select("query_id", "doc_id", "prompt", "images").mapInPandas(ask, "query_id long, doc_id long, answer string")
+#: Seconds that a ranker may take for a prompt, and an answerer.
+TIMEOUT, ANSWER_TIMEOUT = 15.0, 120.0
 
 
 class ChatClient:
@@ -60,16 +22,16 @@ class ChatClient:
     def __init__(self, base_url: str, model: str, timeout: float = 120.0) -> None:
         self.base_url, self.model, self.timeout = base_url.rstrip("/"), model, timeout
 
-    def chat(self, messages: list[dict], model: str | None = None, **options: object) -> str:
-        """The reply's text, from message.content or response; ValueError if it has neither. Errors of HTTP pass through."""
-        body = {"model": model or self.model, "messages": messages, "temperature": 0.0, "stream": False} | ({"options": options} if options else {})
+    def chat(self, messages: list[dict], model: str | None = None, form: str | None = None, **options: object) -> str:
+        """The reply's text, from message.content or response; ModelError if it has neither. form "json" asks for JSON. Errors of HTTP pass through."""
+        body = {"model": model or self.model, "messages": messages, "temperature": 0.0, "stream": False} | ({"options": options} if options else {}) | ({"format": form} if form else {})
         request = urllib.request.Request(f"{self.base_url}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as got:
             reply = json.load(got)
         told = (reply.get("message") or {}).get("content") if isinstance(reply, dict) else None
         told = reply.get("response") if told is None and isinstance(reply, dict) else told
         if told is None:
-            raise ValueError("the reply holds no text")
+            raise ModelError("the reply holds no text")
         return told
 
     def is_available(self) -> bool:
@@ -80,7 +42,7 @@ class ChatClient:
             return False
 
     def ranker(self) -> NodeRanker:
-        return lambda prompt: self.chat([{"role": "user", "content": prompt}], num_ctx=2048, num_predict=256).strip()
+        return lambda prompt: self.chat([{"role": "user", "content": prompt}], form="json", num_ctx=2048, num_predict=256).strip()
 
     def answerer(self) -> Answerer:
         return lambda prompt, images: self.chat([{"role": "user", "content": prompt} | ({"images": images} if images else {})], num_ctx=2048, num_predict=256)

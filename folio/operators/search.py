@@ -90,19 +90,19 @@ def term_weights(entries: DataFrame) -> DataFrame:
     return weighted_terms(entries).where("first").select("doc_id", "term", "df", "idf")
 
 
-def bm25(questions: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, seq, score) of the entries that share a term with the question, rounded to six places."""
+def bm25(questions: DataFrame, entries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, seq, score) of the entries that share a term with the question, rounded to six places; postings are weighted_terms() that are stored."""
     asked = questions.select("query_id", "doc_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(weighted_terms(entries), ["doc_id", "term"])
+    met = asked.join(weighted_terms(entries) if postings is None else postings, ["doc_id", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_hits(questions: DataFrame, entries: DataFrame) -> DataFrame:
+def bm25_hits(questions: DataFrame, entries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, seq, score): the best section and a second of half its score or more, else the first section with 0."""
     key = ["query_id", "doc_id"]
     own = Window.partitionBy(*key)
-    top = bm25(questions, entries).where("score > 0").withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "seq"))).where("rank <= 2").withColumn("top", F.max("score").over(own))
+    top = bm25(questions, entries, postings).where("score > 0").withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "seq"))).where("rank <= 2").withColumn("top", F.max("score").over(own))
     found = top.where((F.col("rank") == 1) | (F.col("score") >= 0.5 * F.col("top"))).select(*key, "seq", "score")
     return _or_first(questions, found).select(*key, "seq", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -143,15 +143,18 @@ def valid_hits(replies: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.join(sections.select("doc_id", "node_id", "seq"), ["doc_id", "node_id"]).select("query_id", "doc_id", "seq", F.col("pos").cast("long").alias("pos"))
 
 
-def cascade(questions: DataFrame, sections: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, seq, via): figure shortcut, else valid ids of a ranker's replies, else BM25 for the rest only."""
+def cascade(questions: DataFrame, sections: DataFrame, replies: DataFrame | None = None, named: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, seq, via): figure shortcut, else valid ids of a ranker's replies, else BM25 for the rest only.
+
+    Replies and named, the figure_hits(), are read more than once: give tables, not plans that ask a model.
+    """
     key = ["query_id", "doc_id"]
-    out = figure_hits(questions, sections).withColumn("via", F.lit("figure"))
+    out = (figure_hits(questions, sections) if named is None else named).withColumn("via", F.lit("figure"))
     rest = questions.join(out.select(*key), key, "left_anti")
     if replies is not None:
         ranked = valid_hits(replies.join(rest.select(*key), key, "left_semi"), sections).select(*key, "seq").distinct().withColumn("via", F.lit("ranker"))
         out, rest = out.unionByName(ranked), rest.join(ranked.select(*key).distinct(), key, "left_anti")
-    return out.unionByName(bm25_hits(rest, sections).select(*key, "seq").withColumn("via", F.lit("bm25")))
+    return out.unionByName(bm25_hits(rest, sections, postings).select(*key, "seq").withColumn("via", F.lit("bm25")))
 
 
 def retrieved(hits: DataFrame, questions: DataFrame, sections: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from folio import storage
 from folio.operators import answer, captions, images, outline, pages, plugins, search
+from folio.operators import replies as asking
+from folio.plans.index import Index
+from folio.plans.metrics import Metrics
 
 KEY = ["query_id", "doc_id"]
 
@@ -25,15 +28,17 @@ class Corpus:
     claims: DataFrame
 
     def written(self, path: str) -> Corpus:
-        """The corpus as tables in path."""
-        for name in ("sections", "images", "claims"):
+        """The corpus as tables in path; claims are made from the tables."""
+        spark = self.sections.sparkSession
+        for name in ("sections", "images"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return read(self.sections.sparkSession, path)
+        claims(*(spark.read.parquet(f"{path}/{name}") for name in ("sections", "images"))).write.mode("overwrite").parquet(f"{path}/claims")
+        return read(spark, path)
 
     def stored(self) -> Corpus:
         """The corpus as tables in the shared folder, which go with the session; claims are made from the tables."""
         sections, images_ = storage.written(self.sections, "sections"), storage.written(self.images, "images")
-        return Corpus(sections, images_, images.claimed(sections, images_))
+        return Corpus(sections, images_, claims(sections, images_))
 
 
 def read(spark: SparkSession, path: str) -> Corpus:
@@ -54,34 +59,62 @@ def ingest(page_table: DataFrame, image_table: DataFrame, tail_policy: str = "re
     return Corpus(sections, matched, images.claimed(sections, matched))
 
 
+def claims(sections: DataFrame, image_table: DataFrame) -> DataFrame:
+    """Which section has which image."""
+    return images.claimed(sections, image_table)
+
+
 def entries(corpus: Corpus) -> DataFrame:
     return search.index_entries(corpus.sections, corpus.claims)
 
 
-def find(corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None, timeout: float = plugins.TIMEOUT) -> DataFrame:
-    """(query_id, doc_id, seq, via): the sections of each question, by figure, by a ranker or its replies (query_id, doc_id, raw), or by BM25."""
+def find(
+    corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None,
+    timeout: float = plugins.TIMEOUT, log: str | None = None, index: Index | None = None,
+) -> DataFrame:
+    """(query_id, doc_id, seq, via): the sections of each question, by figure, by a ranker or its replies (query_id, doc_id, raw), or by BM25.
+
+    A ranker is asked once for each prompt, before anything reads its replies; log keeps them, so that a later call with the
+    same prompts asks only what is missing. index is a stored one of the corpus.
+    """
+    named = storage.written(search.figure_hits(questions, corpus.sections), "named")
     if ranker is not None:
-        named = search.figure_hits(questions, corpus.sections).select(*KEY)
-        replies = plugins.replies(search.navigation_prompts(questions.join(named, KEY, "left_anti"), entries(corpus)), ranker, timeout)
+        prompts = search.navigation_prompts(questions.join(named.select(*KEY), KEY, "left_anti"), entries(corpus))
+        replies = asking.asked(prompts, ranker, log, timeout)
     if replies is not None:
-        replies = replies.select(*KEY, search.parsed_reply(F.col("raw"))["node_list"].alias("node_list"))
-    return search.cascade(questions, corpus.sections, replies)
+        replies = storage.written(replies.select(*KEY, search.parsed_reply(F.col("raw"))["node_list"].alias("node_list")), "node-lists")
+    return search.cascade(questions, corpus.sections, replies, named, index.postings() if index else None)
+
 
+def retrieve(corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None, metrics: Metrics | None = None, **options) -> DataFrame:
+    """The sections of each question, with their contents, kept in the shared folder: context, citations, images and answer all read them.
 
-def retrieve(corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None) -> DataFrame:
-    """The sections of each question, with their contents, kept in the shared folder: context, citations, images and answer all read them."""
-    return storage.written(search.retrieved(find(corpus, questions, ranker, replies), questions, corpus.sections), "found")
+    metrics counts, as "found", the sections by the way they were found.
+    """
+    hits = find(corpus, questions, ranker, replies, **options)
+    if metrics:
+        hits = metrics.watch("found", hits, **{way: F.count_if(F.col("via") == way) for way in ("figure", "ranker", "bm25")})
+    return storage.written(search.retrieved(storage.written(hits, "hits"), questions, corpus.sections), "found")
 
 
-def ask(corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None, answerer: plugins.Answerer | None = None) -> DataFrame:
+def ask(
+    corpus: Corpus, questions: DataFrame, ranker: plugins.NodeRanker | None = None, replies: DataFrame | None = None,
+    answerer: plugins.Answerer | None = None, log: str | None = None, timeout: float = plugins.TIMEOUT, index: Index | None = None,
+    metrics: Metrics | None = None,
+) -> DataFrame:
     """(query_id, doc_id, prompt, images, answer, sources) of each question (query_id, doc_id, query) on its document.
 
     images are the payloads sent along, sources the citations in order. Without an answerer the answer is the extract that
-    fits best, and no model is asked.
+    fits best, and no model is asked; with one there is a column error, null where it answered. log is the folder of both
+    models' replies, in which a job that starts again finds what it need not ask.
     """
-    found = retrieve(corpus, questions, ranker, replies)
-    sent = answer.attached(questions, found, corpus.images, corpus.claims, corpus.sections)
+    found = retrieve(corpus, questions, ranker, replies, metrics, timeout=timeout, log=log and f"{log}/ranker", index=index)
+    sent = storage.written(answer.attached(questions, found, corpus.images, corpus.claims, corpus.sections), "attached")
     payloads = sent.join(corpus.images.select("doc_id", "page", "img_pos", "b64"), ["doc_id", "page", "img_pos"]).select(*KEY, F.expr("array_repeat(b64, cast(copies as int))").alias("images"))
     rows = answer.prompts(questions, found).join(payloads, KEY, "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
-    told = plugins.answers(rows, answerer) if answerer else answer.extracts(questions, found)
-    return rows.join(told, KEY).select(*KEY, "prompt", "images", "answer", F.split("sources", "; (?=Section: ')").alias("sources"))
+    if answerer:
+        rows = storage.written(rows, "asking")
+        told = asking.asked(rows.select(*KEY, "prompt", "images"), answerer, log and f"{log}/answerer", plugins.ANSWER_TIMEOUT).select(*KEY, F.col("raw").alias("answer"), "error")
+    else:
+        told = answer.extracts(questions, found)
+    return rows.join(told, KEY).select(*KEY, "prompt", "images", "answer", F.split("sources", "; (?=Section: ')").alias("sources"), *(["error"] if answerer else []))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
@@ -23,9 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has."""
-    return f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+def fresh_path(spark: SparkSession, name: str, temporary: bool = False) -> str:
+    """A path in the shared folder that nothing has; if temporary, what is written there goes with the session."""
+    path = f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if temporary:
+        atexit.register(remove, spark, path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -33,14 +37,13 @@ def remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended before the interpreter
-        pass
+    except Exception as error:  # noqa: BLE001  mostly: the session has ended before the interpreter
+        logging.getLogger(__name__).debug("not deleted: %s: %s", path, error)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back; the files go with the session."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, temporary=True)
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

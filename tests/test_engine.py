@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.errors import IngestionError
-from folio.operators import captions, graph, images, outline, pages, plugins
-from folio.plans import engine
+from folio.operators import captions, graph, images, outline, pages, plugins, replies
+from folio.plans import engine, store
 from folio.sources import pages as source
 from folio.streaming import ingestion
 
@@ -44,7 +44,7 @@ def test_plug_ins(spark, corpus):
     assert got["answer"] == "0 See the table." or got["answer"].endswith("See the table.")
     slow = engine.find(corpus, questions, ranker=lambda prompt: time.sleep(20), timeout=0.2).first()
     assert slow["via"] == "bm25"
-    assert plugins.in_time(lambda: 1 / 0, 1) is None
+    assert replies.in_time(lambda: 1 / 0, 1) == (None, "ZeroDivisionError: division by zero")
 
 
 def test_chat_client(monkeypatch):
@@ -60,6 +60,8 @@ def test_chat_client(monkeypatch):
         monkeypatch.setattr(urllib.request, "urlopen", send)
 
     client = plugins.ChatClient("http://h:1/", "m")
+    answered({"message": {"content": " {} "}})
+    assert client.ranker()("p") == "{}" and sent[-1][1]["format"] == "json" and sent[-1][1]["options"] == {"num_ctx": 2048, "num_predict": 256}
     answered({"message": {"content": "answer"}})
     assert client.chat([{"role": "user", "content": "hi"}]) == "answer"
     assert sent[-1] == ("http://h:1/api/chat", {"model": "m", "messages": [{"role": "user", "content": "hi"}], "temperature": 0.0, "stream": False})
@@ -96,8 +98,8 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(MD, "doc_id long, page long, md string").coalesce(1).write.parquet(str(tmp_path / "in"))
     query = ingestion.ingesting(spark, str(tmp_path / "in"), spark.createDataFrame([(1, 2, 0, "x" * 5000, 5000)], IMAGES), str(tmp_path / "out"))
     query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/sections")).count() == 5
-    assert spark.read.parquet(str(tmp_path / "out/claims")).count() == 1
+    grown = store.Store(spark, str(tmp_path / "out")).corpus()
+    assert grown.sections.count() == 5 and grown.claims.count() == 1
 
 
 def test_repeated_pages_and_far_markers(spark):
