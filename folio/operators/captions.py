@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import CAPTION, IMAGE_TAG, LABEL, NO_CAPTION, NO_TAG_CAPTION, VISUAL, normalized_label, stripped
+from folio.operators.containment import contained
 from folio.operators.pages import latest
 
 
@@ -59,7 +60,17 @@ def beside_tags(documents: DataFrame) -> DataFrame:
 
 
 def tag_sources(tags: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc_id, pos, tag, name): the first file (doc_id, file_no, name) of the document whose name holds the tag, or the other way round."""
-    held = F.contains("name", F.col("tag")) | F.contains("tag", F.col("name"))
-    met = tags.join(files, "doc_id").where(held).groupBy("doc_id", "pos", "tag").agg(F.min_by("name", "file_no").alias("name"))
-    return tags.select("doc_id", "pos", "tag").join(met, ["doc_id", "pos", "tag"], "left")
+    """(doc_id, pos, tag, name): the first file (doc_id, file_no, name) of the document whose name holds the tag, or the other way round.
+
+    Tags and names meet by what they hold (containment.contained()), so a document's tags aren't compared with all its files.
+    """
+    named = files.where("name is not null").groupBy("doc_id", "name").agg(F.min("file_no").alias("file_no"))
+    first = files.where("name is not null").groupBy("doc_id").agg(F.min_by("name", "file_no").alias("name"), F.min("file_no").alias("file_no"))
+    asked = tags.select("doc_id", "tag").distinct()
+    in_name = contained(asked.withColumnRenamed("tag", "pattern"), named.select("doc_id", F.col("name").alias("text_id"), F.col("name").alias("text"))).select("doc_id", F.col("pattern").alias("tag"), F.col("text_id").alias("name"))
+    in_tag = contained(named.select("doc_id", F.col("name").alias("pattern")), asked.select("doc_id", F.col("tag").alias("text_id"), F.col("tag").alias("text"))).select("doc_id", F.col("text_id").alias("tag"), F.col("pattern").alias("name"))
+    met = in_name.unionByName(in_tag).join(named, ["doc_id", "name"])
+    # An empty tag is in every name, and an empty name in every tag.
+    met = met.unionByName(asked.where("tag = ''").join(first, "doc_id").select(*met.columns)).unionByName(asked.join(named.where("name = ''"), "doc_id").select(*met.columns))
+    best = met.groupBy("doc_id", "tag").agg(F.min_by("name", "file_no").alias("name"))
+    return tags.select("doc_id", "pos", "tag").join(best, ["doc_id", "tag"], "left").select("doc_id", "pos", "tag", "name")

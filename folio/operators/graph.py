@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.containment import contained
 from folio.operators.outline import ROOT_TITLE, parented
 
 BOX = "STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE>"
@@ -56,10 +57,16 @@ def _held_formulas(held: DataFrame) -> DataFrame:
 
 
 def _references(held: DataFrame, refs: DataFrame) -> DataFrame:
-    """Edges of refs (doc_id, ref_no, target_node_id, context) from the first of (doc_id, seq, owner, content) that has the context, else from the first of the document."""
-    met = refs.join(held, "doc_id").withColumn("misses", F.when(F.contains("content", F.col("context")), 0).otherwise(1))
-    best = met.groupBy("doc_id", "ref_no", "target_node_id").agg(F.min(F.struct("misses", "seq", "owner")).alias("at"))
-    return best.select(*_edge(F.col("at.owner"), F.col("target_node_id"), "references"))
+    """Edges of refs (doc_id, ref_no, target_node_id, context) from the first of (doc_id, seq, owner, content) that has the context, else from the first of the document.
+
+    Contexts meet contents by containment.contained(); contents don't travel with the references.
+    """
+    owners = held.select("doc_id", "seq", "owner")
+    first = owners.groupBy("doc_id").agg(F.min(F.struct("seq", "owner")).alias("first"))
+    met = contained(refs.select("doc_id", F.col("context").alias("pattern")), held.select("doc_id", F.col("seq").alias("text_id"), F.col("content").alias("text")))
+    best = met.groupBy("doc_id", F.col("pattern").alias("context")).agg(F.min("text_id").alias("seq")).join(owners, ["doc_id", "seq"]).groupBy("doc_id", "context").agg(F.min("owner").alias("owner"))
+    rows = refs.select("doc_id", "ref_no", "target_node_id", "context").distinct().join(best, ["doc_id", "context"], "left").join(first, "doc_id")
+    return rows.select(*_edge(F.coalesce("owner", F.col("first.owner")), F.col("target_node_id"), "references"))
 
 
 def _graph(held: DataFrame, up: DataFrame, figures: DataFrame | None, co_located: DataFrame | None, refs: DataFrame | None) -> tuple[DataFrame, DataFrame]:

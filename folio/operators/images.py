@@ -63,13 +63,42 @@ def within_margins(placements: DataFrame, top: float = 70, bottom: float = 70) -
     return placements.where((F.col("y0") >= top) & (F.col("y1") <= F.col("height") - bottom))
 
 
+#: Tiles to each side of the box in which a page's images seek their captions.
+TILES = 16
+
+
+def _tiled(rows: DataFrame, box: DataFrame, x: tuple, y: tuple) -> DataFrame:
+    """rows, once for each tile (tx, ty) of their page's box that the rectangle x, y touches."""
+
+    def tiles(low, high, least, most):
+        place = lambda v: F.least(F.lit(TILES - 1), F.greatest(F.lit(0), F.floor((v - F.col(least)) / F.col("side")).cast("int")))
+        inside = (F.greatest(low, high) >= F.col(least)) & (F.least(low, high) <= F.col(most))
+        return F.when(inside, F.sequence(place(F.least(low, high)), place(F.greatest(low, high))))
+
+    met = rows.join(box, ["doc_id", "page"])
+    met = met.withColumn("_tx", tiles(*x, "bx0", "bx1")).withColumn("_ty", tiles(*y, "by0", "by1"))
+    return met.withColumn("tx", F.explode("_tx")).withColumn("ty", F.explode("_ty")).drop("_tx", "_ty")
+
+
 def zone_captions(images: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, page, img_pos, caption): text in the zone below an image, else in one of its height above it."""
-    i, s = images.alias("i"), spans.alias("s")
-    same = (F.col("i.doc_id") == F.col("s.doc_id")) & (F.col("i.page") == F.col("s.page"))
-    beside = F.expr("s.x0 < i.x1 + 20 and s.x1 > i.x0 - 20")
-    below, above = F.expr("s.y0 < i.y1 + 50 and s.y1 > i.y1"), F.expr("s.y0 < i.y0 and s.y1 > i.y0 - 50")
-    met = i.join(s, same & beside & (below | above)).select("i.doc_id", "i.page", "i.img_pos", below.alias("below"), F.col("s.y0").alias("y0"), F.col("s.x0").alias("x0"), F.col("s.text").alias("text"))
+    """(doc_id, page, img_pos, caption): text in the zone below an image, else in one of its height above it.
+
+    Images and spans meet by tiles of the box around their page's zones, each pair in the one tile where their common part begins,
+    so a page of many spans isn't compared span by span with all its images.
+    """
+    zone_x, zone_y = (F.col("x0") - 20, F.col("x1") + 20), (F.col("y0") - 50, F.col("y1") + 50)
+    low = lambda a, b: F.min(F.least(a, b))
+    high = lambda a, b: F.max(F.greatest(a, b))
+    box = images.groupBy("doc_id", "page").agg(low(*zone_x).alias("bx0"), high(*zone_x).alias("bx1"), low(*zone_y).alias("by0"), high(*zone_y).alias("by1"))
+    box = box.withColumn("side", F.greatest(F.lit(1.0), F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) / TILES)
+    names = ["x0", "x1", "y0", "y1"]
+    i = _tiled(images.select("doc_id", "page", "img_pos", *names), box, zone_x, zone_y)
+    s = _tiled(spans.select("doc_id", "page", *names, "text"), box, (F.col("x0"), F.col("x1")), (F.col("y0"), F.col("y1"))).select("doc_id", "page", "tx", "ty", "text", *(F.col(c).alias(f"s{c}") for c in names))
+    beside = F.expr("sx0 < x1 + 20 and sx1 > x0 - 20")
+    below, above = F.expr("sy0 < y1 + 50 and sy1 > y1"), F.expr("sy0 < y0 and sy1 > y0 - 50")
+    place = lambda v, least: F.least(F.lit(TILES - 1), F.greatest(F.lit(0), F.floor((v - F.col(least)) / F.col("side")).cast("int")))
+    once = (F.col("tx") == place(F.greatest("sx0", F.col("x0") - 20), "bx0")) & (F.col("ty") == place(F.greatest("sy0", F.col("y0") - 50), "by0"))
+    met = i.join(s, ["doc_id", "page", "tx", "ty"]).where(once & beside & (below | above)).select("doc_id", "page", "img_pos", below.alias("below"), F.col("sy0").alias("y0"), F.col("sx0").alias("x0"), "text")
     text = lambda side: collapsed(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("y0", "x0", "text")))), lambda x: x["text"]), " "))
     found = met.groupBy("doc_id", "page", "img_pos").agg(text(F.col("below")).alias("low"), text(~F.col("below")).alias("high"))
     return images.select("doc_id", "page", "img_pos").join(found, ["doc_id", "page", "img_pos"], "left").select("doc_id", "page", "img_pos", F.coalesce(F.nullif("low", F.lit("")), F.nullif("high", F.lit("")), F.lit(NO_CAPTION)).alias("caption"))

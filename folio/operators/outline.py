@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import HEADING, PAGE_TAG, stripped
+from folio import storage
+from folio.functions.text import HEADING, NO_CAPTION, PAGE_TAG, normalized_label, stripped
 
 ROOT_TITLE = "Document Header / Introduction"
 
@@ -115,3 +116,45 @@ def nested(sections: DataFrame, images: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("_node", node).withColumn("_text", text)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_text"))), lambda x: x["_text"]), "")
     return rows.groupBy("doc_id").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("tree"))
+
+
+NODE = "node_id STRING, title STRING, page_start BIGINT, page_end BIGINT, content STRING, base64_images ARRAY<STRING>, image_captions ARRAY<STRING>, image_labels ARRAY<STRING>, nodes ARRAY<STRING>"
+
+
+def unnested(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and images of trees (doc_id, tree) as nested() writes them, however deep; a tree may also be one node without a list.
+
+    Sections are (doc_id, seq, node_id, level, title, content, parent_seq, page_start, page_end, depth), numbered in preorder; a tree knows no
+    levels of headings, so level is depth. Images are (doc_id, page, img_pos, seq, b64, b64_len, caption, label, normalized_label): each counts for the
+    first page of its section, in the order of the sections. One step a level of the trees, each written to the shared folder. A null
+    tree, and one that isn't JSON, has no sections; of nodes that lack a field its default is taken.
+    """
+    spark = trees.sparkSession
+    listed = F.when(F.ltrim("tree").startswith("["), F.from_json("tree", "ARRAY<STRING>")).otherwise(F.array("tree"))
+    front = trees.select("doc_id", F.posexplode(listed).alias("pos", "json")).select("doc_id", F.array("pos").alias("path"), "json")
+    levels = []
+    while True:
+        told = front.select("doc_id", "path", F.from_json("json", NODE).alias("n")).where("n.node_id is not null or n.title is not null or n.nodes is not null")
+        levels.append(storage.written(told.select("doc_id", "path", "n.*"), "level"))
+        front = levels[-1].select("doc_id", "path", F.posexplode("nodes").alias("pos", "json")).select("doc_id", F.concat("path", F.array("pos")).alias("path"), "json").where("json is not null")
+        if front.isEmpty():
+            break
+    rows = spark.createDataFrame([], levels[0].schema)
+    for level in levels:
+        rows = rows.unionByName(level)
+    order = Window.partitionBy("doc_id").orderBy("path")  # a path comes before those that go on from it
+    rows = storage.written(rows.withColumn("seq", (F.row_number().over(order) - 1).cast("long")), "nodes")
+    up = rows.select("doc_id", F.col("path").alias("above"), F.col("seq").alias("parent_seq"))
+    depth = F.size("path") - 1
+    own = rows.withColumn("above", F.slice("path", 1, F.greatest(F.lit(0), depth))).join(up, ["doc_id", "above"], "left")
+    start = F.coalesce("page_start", F.lit(1).cast("long"))
+    sections = own.select(
+        "doc_id", "seq", F.coalesce("node_id", F.format_string("%04d", "seq")).alias("node_id"), depth.cast("long").alias("level"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"),
+        "parent_seq", start.alias("page_start"), F.coalesce("page_end", start).alias("page_end"), depth.cast("int").alias("depth"),
+    )
+    at = lambda c: F.get(c, F.col("k"))
+    held = rows.select("doc_id", "seq", start.alias("page"), "image_captions", "image_labels", F.posexplode("base64_images").alias("k", "b64")).where("b64 is not null")
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("seq", "k")) - 1
+    pictures = held.select("doc_id", "page", place.cast("long").alias("img_pos"), "seq", "b64", F.length("b64").cast("long").alias("b64_len"), F.coalesce(at("image_captions"), F.lit(NO_CAPTION)).alias("caption"), F.coalesce(at("image_labels"), F.lit("")).alias("label"))
+    pictures = pictures.withColumn("normalized_label", normalized_label(F.col("label")))
+    return sections, pictures

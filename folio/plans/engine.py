@@ -59,6 +59,13 @@ def ingest(page_table: DataFrame, image_table: DataFrame, tail_policy: str = "re
     return Corpus(sections, matched, images.claimed(sections, matched))
 
 
+def from_trees(trees: DataFrame) -> Corpus:
+    """Trees (doc_id, tree) of nested sections as a corpus: questions are asked of what another program, or nested(), has written."""
+    sections, pictures = outline.unnested(trees)
+    pictures = storage.written(pictures, "pictures")
+    return Corpus(sections, pictures.drop("seq"), pictures.select("doc_id", "page", "img_pos", "seq"))
+
+
 def claims(sections: DataFrame, image_table: DataFrame) -> DataFrame:
     """Which section has which image."""
     return images.claimed(sections, image_table)
