@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from folio import fixtures, storage
 from folio.functions.text import ANSWERING, FIGURE_QUERY, INTENT, NAVIGATION, STOP_WORDS, TOKEN, host, terms
-from folio.operators import answer, captions, graph, images, outline, pages, search
-from folio.plans import engine
+from folio.operators import answer, captions, containment, graph, images, outline, pages, search
+from folio.plans import engine, index, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,6 +328,28 @@ def ingest_claims(spark, sf_dir):
     return _corpus(spark, sf_dir).claims.select("doc_id", "page", "img_pos", "seq")
 
 
+def _grown(spark, sf_dir):
+    """The same corpus from pages that come in three lots, some of them late, again or corrected, and images that come last."""
+    paged = fixtures.paged_markdown(spark, sf_dir, headed=True)
+    lot = lambda k: paged.where((F.col("page") + F.col("doc_id")) % 2 == k)
+    grown = store.Store(spark, storage.fresh_path(spark, "store", temporary=True), buckets=4)
+    grown.upsert(lot(1).withColumn("version", F.lit(1)).unionByName(lot(0).where("page % 3 = 0").select("doc_id", "page", F.lit("# Draft\ndraft text").alias("md"), F.lit(0).alias("version"))))
+    grown.upsert(lot(0).unionByName(lot(1).where("page % 4 = 1")).withColumn("version", F.lit(1)))
+    grown.upsert(images=fixtures.images(spark, sf_dir))
+    return grown.corpus()
+
+
+@query(f"WITH RECURSIVE {_INGESTED} SELECT doc_id, seq, node_id, level, title, parent_seq, page_start, page_end, content FROM outline")
+def grown_outline(spark, sf_dir):
+    sections = _grown(spark, sf_dir).sections.join(fixtures.turns(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_semi")
+    return sections.select("doc_id", "seq", "node_id", "level", "title", "parent_seq", "page_start", "page_end", "content")
+
+
+@query(f"WITH RECURSIVE {_INGESTED} SELECT * FROM claims")
+def grown_claims(spark, sf_dir):
+    return _grown(spark, sf_dir).claims.select("doc_id", "page", "img_pos", "seq")
+
+
 _JSON_CHILD = """list_transform(children, lambda c: '{' || chr(10) || '        "node_id": "' || c.node_id || '",' || chr(10) || '        "title": "' || c.title || '"' || chr(10) || '      }')"""
 _JSON_LIST = "CASE WHEN len({0}) = 0 THEN '[]' ELSE '[' || chr(10) || '{1}  ' || array_to_string({0}, ',' || chr(10) || '{1}  ') || chr(10) || '{1}]' END"
 _JSON_CAPTIONS = _JSON_LIST.format("""list_transform(figure_captions, lambda x: '"' || x || '"')""", "    ")
@@ -413,6 +436,29 @@ def search_cascade(spark, sf_dir):
     return engine.find(_corpus(spark, sf_dir), fixtures.literal_questions(spark, sf_dir), replies=fixtures.literal_replies(spark, sf_dir))
 
 
+_BY_LENGTH = re.sub(r"ranked AS \(.*?\)\),\ncascaded", "ranked AS (SELECT q.query_id, q.doc_id, o.seq FROM questions q JOIN outline o ON o.doc_id = q.doc_id AND o.node_id = '0001' WHERE length(query) % 3 = 0 AND q.query_id NOT IN (SELECT query_id FROM shortcut)),\ncascaded", _ASKED, flags=re.S)
+
+
+def _by_length(prompt: str) -> str | None:
+    """A ranker that names section 1 where the question's length is a multiple of 3, says nothing, or fails."""
+    asked = prompt.split("\nQuery: ", 1)[1].split("\n\nDocument structure:", 1)[0]
+    if len(asked) % 3 == 2:
+        raise ValueError("no answer")
+    return None if len(asked) % 3 else '{"thinking": "by length", "node_list": ["0001"]}'
+
+
+@query(f"WITH RECURSIVE {_BY_LENGTH} SELECT * FROM cascaded")
+def ranker_cascade(spark, sf_dir):
+    """The cascade with a live ranker, whose replies are stored before anything reads them."""
+    return engine.find(_corpus(spark, sf_dir), fixtures.literal_questions(spark, sf_dir), ranker=_by_length)
+
+
+@query(f"WITH RECURSIVE {_BM25} SELECT * FROM scored")
+def indexed_scores(spark, sf_dir):
+    """BM25 from a stored index."""
+    return search.bm25(fixtures.questions(spark, sf_dir), None, index.stored(_outline(spark, sf_dir)).postings())
+
+
 @query(f"WITH RECURSIVE {_BM25} SELECT h.query_id, o.doc_id, o.seq, o.node_id, o.title FROM hits h JOIN outline o ON h.doc_id = o.doc_id AND h.seq = o.seq")
 def retrieve_nodes(spark, sf_dir):
     asked, sections = fixtures.questions(spark, sf_dir), _outline(spark, sf_dir)
@@ -524,6 +570,21 @@ def nested_tree(spark, sf_dir):
     return outline.nested(_outline(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_RANGES} SELECT doc_id, seq, node_id, depth::INT AS depth, title, content, parent_seq, page_start, page_end FROM outline")
+def tree_read_back(spark, sf_dir):
+    return outline.unnested(outline.nested(_outline(spark, sf_dir)))[0].drop("level")
+
+
+@query(
+    f"WITH {fixtures.TURNS}, asked AS (SELECT DISTINCT doc_id, p AS pattern FROM (SELECT doc_id, unnest([left(text, 6), substr(text, 3, 12), left(text, 40)]) AS p FROM turns) WHERE p <> '') SELECT a.doc_id, pattern, t.turn AS text_id FROM asked a JOIN turns t ON a.doc_id = t.doc_id AND contains(t.text, a.pattern)"
+)
+def contained_passages(spark, sf_dir):
+    """Which turns of a conversation hold what each of them begins with."""
+    turns = fixtures.turns(spark, sf_dir)
+    heads = turns.select("doc_id", F.explode(F.array(F.left("text", F.lit(6)), F.substring("text", 3, 12), F.left("text", F.lit(40)))).alias("pattern"))
+    return containment.contained(heads, turns.select("doc_id", F.col("turn").alias("text_id"), "text"))
+
+
 # --- graph, export, sources ---------------------------------------------------------------
 
 
