@@ -4,11 +4,15 @@ A seed is a window of SPAN tokens of which a fixed mask keeps some, so a substit
 out changes nothing. An item shorter than a seed has a seed of its whole length for each position left out. Seeds
 of the benchmark and of the documents are joined on their hashes; around each hit the aligned tokens are compared,
 and a stretch of the item with enough equal tokens is a leak. Every set of substitutions that EQUAL allows leaves a seed.
+
+Where tokens repeat, so do seeds with all that is about them; a document's or an item's places of one seed that have the same
+surroundings are one, the first. A run of one token, or of a few in turn, so meets another in a number of places that doesn't grow
+with their lengths. Items too short to miss a token have one seed, all of it, whose first place in a document counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,6 @@ from folio.llm.common import bounded_batches, kept, mix, stored, text_blocks, to
 # The masks. Any two positions are left out by one of them, and, shifted within an item of 15 to 19 tokens, any three.
 MASKS = ("1011011010", "1101110100", "1001101011", "0101011101", "0011110011", "0111101100", "1110000111", "0100111110", "1010111001")
 SPAN = len(MASKS[0])
-#: Items of fewer tokens are matched whole, and only from SHORT tokens on.
-SHORT = 5
 #: A leak is a stretch of this many aligned tokens (or the whole item, if shorter) with this share equal.
 STRETCH, EQUAL = 20, (80, 100)
 SIDE = STRETCH - 1
@@ -44,12 +46,20 @@ def seeds(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield k, mix(acc), valid
 
 
+def exact(n: int) -> bool:
+    """Whether no token of a stretch of n may differ."""
+    return EQUAL[1] * (n - 1) < EQUAL[0] * n
+
+
 def whole(hashes: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes of n tokens without one of them, valid) for each token that may be left out, for items shorter than a seed."""
+    """(hashes of n tokens without one of them, valid) for each token that may be left out, or of all of them if none may; for items shorter than a seed."""
     m = max(len(hashes) - n + 1, 0)
     valid = np.arange(m) + n <= np.repeat(first[1:], np.diff(first))[:m]
     terms = [hashes[j : j + m] * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(n)]
     every = sum(terms, np.zeros(m, np.uint64))
+    if exact(n):
+        yield mix(every + np.uint64(100 + SPAN * n + n)), valid
+        return
     for j, own in enumerate(terms):
         yield mix(every - own + np.uint64(100 + SPAN * n + j)), valid
 
@@ -68,6 +78,28 @@ def _around(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarra
 
 #: Rows that carry their surroundings in one batch.
 _SLICE = 4096
+_WEIGHTS = mix(np.arange(1, AROUND + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _different(owner: np.ndarray, key: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The first of the places that agree in owner, key and what is about them (a hash of it)."""
+    _, at = np.unique(np.stack([owner.astype(np.uint64), key, around], 1), axis=0, return_index=True)
+    return np.sort(at)
+
+
+def _about(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Hashes of the AROUND tokens about places, those outside low to high as 0."""
+
+    def told(at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.uint64)
+        for k in range(0, len(at), _SLICE):
+            here = at[k : k + _SLICE]
+            near = here[:, None] + np.arange(-SIDE, SPAN + SIDE)
+            inside = (near >= low[here, None]) & (near < high[here, None])
+            out[k : k + _SLICE] = (np.where(inside, hashes[np.clip(near, 0, len(hashes) - 1)], np.uint64(0)) * _WEIGHTS).sum(1)
+        return out
+
+    return told
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +109,14 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(first)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             found = [(h[v], np.flatnonzero(v)) for _, h, v in seeds(hashes, first)]
-            for n in range(SHORT, SPAN):
+            for n in range(1, SPAN):
                 for h, v in whole(hashes, first, n):
                     v = v & (sizes[owner[: len(v)]] == n)
                     found.append((h[v], np.flatnonzero(v)))
             keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(at):
+                chosen = _different(owner[at], keys, _about(hashes, first[owner], first[owner + 1])(at))
+                keys, at = keys[chosen], at[chosen]
             for k in range(0, len(keys), _SLICE):
                 here = at[k : k + _SLICE]
                 own = owner[here]
@@ -97,9 +132,12 @@ def _probing(filter_: np.ndarray, short: list[int]):
             for row, data, offsets in text_blocks(batch):
                 hashes, first = tokens(data, offsets)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for h, v in [*((h, v) for _, h, v in seeds(hashes, first)), *(x for n in short for x in whole(hashes, first, n))]:
+                about = _about(hashes, first[owner], first[owner + 1])
+                for h, v, all_ in [*((h, v, False) for _, h, v in seeds(hashes, first)), *((h, v, exact(n)) for n in short for h, v in whole(hashes, first, n))]:
                     slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     at = np.flatnonzero(v & ((filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool))
+                    if len(at):
+                        at = at[_different(owner[at], h[at], np.zeros(len(at), np.uint64) if all_ else about(at))]
                     for k in range(0, len(at), _SLICE):
                         here = at[k : k + _SLICE]
                         own = owner[here]
@@ -144,7 +182,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, stretch and begins (first token) of the best aligned stretch of each leak.
 
-    Tokens are runs of letters and digits, A-Z lowered. Items of under SHORT tokens and texts without tokens, null
+    Tokens are runs of letters and digits, A-Z lowered. Items and texts without tokens, null
     or empty, match nothing. Ids are cast to long; rows that repeat one count as one document or item, those
     without one as well. Of equally good stretches the first counts. An empty table gives no rows. Only the
     fixed-size filter of seeds goes to all tasks; documents' seeds that pass it are joined with the benchmark's, and
@@ -158,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     got = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     filter_ = np.zeros(1 << (BITS - 3), np.uint8)
     filter_[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
-    short = sorted(r[0] for r in items.where(F.col("size") < SPAN).select("size").distinct().collect())  # SPAN - SHORT at most
+    short = sorted(r[0] for r in items.where(F.col("size") < SPAN).select("size").distinct().collect())  # fewer than SPAN
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_probing(filter_, short), "key long, doc_id long, doc_at long, around binary")
     both = hits.join(items, "key").select("doc_id", "item_id", "doc_at", "around", "item_at", "size", "item")
     found = both.mapInArrow(_verified, "doc_id long, item_id long, matched long, stretch long, begins long")
