@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,40 +60,68 @@ def arc_bytes(records: list[ArcRecord], version: int, name: str = "pages.arc") -
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
+class Stream:
+    """An archive's bytes, unzipped as they are read, member by member, and the place reached in the unzipped bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        raw = io.BytesIO(data)
+        self.source = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data.startswith(b"\x1f\x8b") else raw
+        self.at = 0
+
+    def line(self) -> bytes | None:
+        """The next line that isn't empty, without its end; None if there is none."""
+        while True:
+            got = self.source.readline()
+            self.at += len(got)
+            if not got:
+                return None
+            if not got.endswith(b"\n"):
+                raise ArchiveError("a line ends early")
+            if line := got.rstrip(b"\r\n"):
+                return line
+
+    def take(self, size: int) -> bytes:
+        got = self.source.read(size)
+        self.at += len(got)
+        if len(got) < size:
+            raise ArchiveError("a record ends early")
+        return got
+
+
+def read_arc(data: bytes | Stream) -> Iterator[ArcRecord]:
     """The records of an ARC file: its version block says how lines are read, each line how many bytes follow."""
-    line, at = _line(data, 0)
+    stream = data if isinstance(data, Stream) else Stream(data)
+    line = stream.line()
+    if line is None:
+        return
     parts = line.split(b" ")
-    if not parts[0].startswith(b"filedesc://"):
+    if not parts[0].startswith(b"filedesc://") or not parts[-1].isdigit():
         raise ArchiveError("no version block")
-    size = int(parts[-1])
-    head = data[at : at + size].decode("utf-8", "replace").split("\n")
-    version = int(head[0].split(" ")[0])
-    if version not in ARC_FIELDS:
-        raise ArchiveError(f"version {version}")
-    fields = head[1].split(" ") if len(head) > 1 and head[1] else ARC_FIELDS[version]
+    head = stream.take(int(parts[-1])).decode("utf-8", "replace").split("\n")
+    version = head[0].split(" ")[0]
+    if not version.isdigit() or int(version) not in ARC_FIELDS:
+        raise ArchiveError(f"version {version[:20]}")
+    fields = head[1].split(" ") if len(head) > 1 and head[1] else ARC_FIELDS[int(version)]
+    if set(ARC_FIELDS[1]) - set(fields):
+        raise ArchiveError("the version block doesn't name the fields")
     place = {x: k for k, x in enumerate(fields)}
-    at += size
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        line, at = _line(data, at)
+    while (line := stream.line()) is not None:
         parts = line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1)  # a URL may hold blanks
         if len(parts) != len(fields) or not parts[place["Archive-length"]].isdigit():
             raise ArchiveError(f"no record line: {line[:80]!r}")
-        size = int(parts[place["Archive-length"]])
-        if at + size > len(data):
-            raise ArchiveError("a record ends early")
-        yield ArcRecord(parts[place["URL"]], parts[place["IP-address"]], parts[place["Archive-date"]], parts[place["Content-type"]], data[at : at + size])
-        at += size
+        block = stream.take(int(parts[place["Archive-length"]]))
+        yield ArcRecord(parts[place["URL"]], parts[place["IP-address"]], parts[place["Archive-date"]], parts[place["Content-type"]], block)
 
 
-def _line(data: bytes, at: int) -> tuple[bytes, int]:
-    end = data.find(b"\n", at)
-    if end < 0:
-        raise ArchiveError("a line ends early")
-    return data[at:end].rstrip(b"\r"), end + 1
+def quarantined(records: Iterator, stream: Stream) -> Iterator[tuple[object, str | None]]:
+    """(record, None) of each record that can be read, then, if one can't, (the place where it begins, the reason)."""
+    begins = stream.at
+    try:
+        for record in records:
+            yield record, None
+            begins = stream.at
+    except (ArchiveError, OSError, EOFError, zlib.error, ValueError, KeyError) as error:
+        yield begins, f"{type(error).__name__}: {error}"
 
 
 def digest(payload: bytes) -> str:
@@ -154,24 +184,27 @@ def warc_record(arc: ArcRecord, name: str, row: int | None, refers_to: int | Non
     return "\r\n".join(lines).encode("utf-8", "replace") + END + block
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_warc(data: bytes | Stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record, by the declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        cut = data.find(END, at)
-        if cut < 0 or not data.startswith(b"WARC/", at):
+    stream = data if isinstance(data, Stream) else Stream(data)
+    while (line := stream.line()) is not None:
+        if not line.startswith(b"WARC/"):
             raise ArchiveError("no WARC record")
-        pairs = (x.split(":", 1) for x in data[at:cut].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
-        headers = {k.lower(): v.strip() for k, v in pairs}
-        at = cut + 4
-        size = int(headers["content-length"])
-        if at + size > len(data):
-            raise ArchiveError("a record ends early")
-        yield headers, data[at : at + size]
-        at += size
+        headers: dict[str, str] = {}
+        while True:
+            got = stream.source.readline()
+            stream.at += len(got)
+            if not got.endswith(b"\n"):
+                raise ArchiveError("a header ends early")
+            got = got.rstrip(b"\r\n").decode("utf-8", "replace")
+            if not got:
+                break
+            name, colon, value = got.partition(":")
+            if colon:
+                headers[name.lower()] = value.strip()
+        if not headers.get("content-length", "").isdigit():
+            raise ArchiveError("a record without its length")
+        yield headers, stream.take(int(headers["content-length"]))
 
 
 _ARC_RECORD = "name string, url string, ip string, date string, type string, block binary"
@@ -205,27 +238,27 @@ def write_arcs(pages: DataFrame, path: str) -> None:
     pages.mapInArrow(_filed, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-def _unzipped(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[str, Stream]]:
     for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-        data = content.as_py()
-        data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
-        if data:
-            yield path, data
+        yield path, Stream(content.as_py() or b"")
 
 
-def _records(data: bytes, path: str) -> Iterator[tuple[str, ArcRecord]]:
-    for k, record in enumerate(read_arc(data)):
-        yield f"{path.rpartition('/')[2]}:{k}", record
+def _records(stream: Stream, path: str) -> Iterator[tuple[str, ArcRecord | int, str | None]]:
+    """(name, record, None), or (name, place, reason) of the first that can't be read."""
+    name = path.rpartition("/")[2]
+    for k, (record, reason) in enumerate(quarantined(read_arc(stream), stream)):
+        yield f"{name}:{k}", record, reason
 
 
 def _read_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, data in _unzipped(batch):
+        for path, stream in _opened(batch):
             own: list[tuple] = []
             size = 0
-            for name, r in _records(data, path):
-                own.append((name, r.url, r.ip, r.date, r.content_type, r.block))
-                size += len(r.block)
+            for name, r, reason in _records(stream, path):
+                if reason is None:
+                    own.append((name, r.url, r.ip, r.date, r.content_type, r.block))
+                    size += len(r.block)
                 if size > BLOCK:
                     yield _rows(own)
                     own, size = [], 0
@@ -237,13 +270,21 @@ def _rows(own: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], kind) for k, kind in enumerate(kinds)], ["name", "url", "ip", "date", "type", "block"])
 
 
+_SUMS = "name string, row long, digest string, size long, offset long, reason string"
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
-        for path, data in _unzipped(batch):
-            own = [(name, row_of(r.block), split_http(r.block)[1]) for name, r in _records(data, path)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.int64()), pa.array([digest(x[2]) for x in own], pa.string()), pa.array([len(x[2]) for x in own], pa.int64())], ["name", "row", "digest", "size"]
-            )
+        for path, stream in _opened(batch):
+            own = []
+            for name, r, reason in _records(stream, path):
+                if reason is not None:
+                    own.append((name, None, None, None, r, reason))
+                else:
+                    payload = split_http(r.block)[1]
+                    own.append((name, row_of(r.block), digest(payload), len(payload), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in _SUMS.split(", ")])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -251,7 +292,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arcs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, url, ip, date, type, block): the records of the ARC files in path; name is the file's with the record's number."""
+    """(name, url, ip, date, type, block): the records of the ARC files in path; name is the file's with the record's number.
+
+    Files may be zipped as a whole or record by record; they are unzipped as they are read. Of a file that is cut or broken the
+    records before the fault count; convert_arcs() tells where it is.
+    """
     bounded_batches(spark)
     return _files(spark, path).mapInArrow(_read_arcs, _ARC_RECORD)
 
@@ -268,52 +313,69 @@ def revisits(sums: DataFrame, least: int = 0) -> DataFrame:
     return sums.join(shared, ["digest", "size"]).where("row < refers_to").select("name", "refers_to")
 
 
-def convert_arcs(spark: SparkSession, source: str, path: str, least: int = 0) -> None:
+def convert_arcs(spark: SparkSession, source: str, path: str, least: int = 0) -> DataFrame:
     """Converts the ARC files in source to gzipped WARC files of about ARCHIVE_BYTES before compression.
 
     A WARC file is written as a text file whose lines end in the blank lines that close a record. Records whose HTTP header
-    gives no X-Row number are responses (or resources, without such a header), never revisits.
+    gives no X-Row number are responses (or resources, without such a header), never revisits. Returns the quarantine, (name,
+    offset, reason): the first record of each file that cannot be read, the place in the unzipped file from which on, and why. It and what
+    follows in its file are left out, all else is converted. The table goes with the session, or by discard().
     """
     bounded_batches(spark)
     with scratch(spark):
-        sums = stored(_files(spark, source).mapInArrow(_summed, "name string, row long, digest string, size long"), "sums")
-        size = sums.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
+        sums = stored(_files(spark, source).mapInArrow(_summed, _SUMS), "sums")
+        good = sums.where("reason is null")
+        size = good.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
         each = (size["b"] or 0) / max(size["n"], 1) + 600
-        records = read_arcs(spark, source).join(revisits(sums, least), "name", "left").mapInArrow(_converted, "value string")
+        records = read_arcs(spark, source).join(revisits(good, least), "name", "left").mapInArrow(_converted, "value string")
         records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
+        return kept(stored(sums.where("reason is not null").select("name", "offset", "reason"), "quarantine"))
+
+
+def _row(headers: dict[str, str], block: bytes) -> dict:
+    revisit = headers["warc-type"] == "revisit"
+    payload = None if revisit else split_http(block)[1]
+    found = headers["warc-payload-digest"].removeprefix("sha1:")
+    if payload is not None and digest(payload) != found:
+        raise ArchiveError(f"{headers['warc-record-id']}: the payload isn't that of its digest")
+    return {
+        "page_id": int(headers["x-row"]) if "x-row" in headers else None,
+        "payload_bytes": len(payload) if payload is not None else int(headers["x-payload-length"]),
+        "payload_digest": found,
+        "record_type": headers["warc-type"],
+        "refers_to": int(headers["x-refers-to-row"]) if revisit else None,
+        "url": headers["warc-target-uri"],
+        "warc_date": headers["warc-date"],
+        "record_id": headers["warc-record-id"],
+    }
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data in _unzipped(batch):
+        for path, stream in _opened(batch):
             rows: list[dict] = []
-            for headers, block in read_warc(data):
-                revisit = headers["warc-type"] == "revisit"
-                payload = None if revisit else split_http(block)[1]
-                found = headers["warc-payload-digest"].removeprefix("sha1:")
-                if payload is not None and digest(payload) != found:
-                    raise ArchiveError(f"{headers['warc-record-id']}: the payload isn't that of its digest")
-                rows.append(
-                    {
-                        "page_id": int(headers["x-row"]) if "x-row" in headers else None,
-                        "payload_bytes": len(payload) if payload is not None else int(headers["x-payload-length"]),
-                        "payload_digest": found,
-                        "record_type": headers["warc-type"],
-                        "refers_to": int(headers["x-refers-to-row"]) if revisit else None,
-                        "url": headers["warc-target-uri"],
-                        "warc_date": headers["warc-date"],
-                        "record_id": headers["warc-record-id"],
-                    }
-                )
+            for record, reason in quarantined(read_warc(stream), stream):
+                begins = stream.at
+                if reason is None:
+                    try:
+                        rows.append(_row(*record))
+                        continue
+                    except (ArchiveError, KeyError, ValueError) as error:  # this record alone is unsound
+                        record, reason = begins - len(record[1]), f"{type(error).__name__}: {error}"
+                rows.append({"file": path.rpartition("/")[2], "offset": record, "reason": reason})
             yield pa.RecordBatch.from_pylist(rows, _READ)
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("record_id", pa.string())])
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string"
+_READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("record_id", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("reason", pa.string())])
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string, file string, offset long, reason string"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files in path; digests of responses are checked against their payloads."""
+    """One row per record of the WARC files in path; digests of responses are checked against their payloads.
+
+    reason is null, but for a record that can't be read, whose row has file, offset (in the unzipped file; that of the block, if the
+    headers could be read) and reason alone. What follows it in its file is left out, unless only its contents are unsound.
+    """
     bounded_batches(spark)
     return _files(spark, path).mapInArrow(_parsed, READ)
 
@@ -330,4 +392,8 @@ def archived(pages: DataFrame) -> DataFrame:
         arcs, warcs = new_path(spark, "arc"), new_path(spark, "warc")
         write_arcs(pages, arcs)
         convert_arcs(spark, arcs, warcs)
-        return kept(stored(read_archives(spark, warcs), "records"))
+        rows = stored(read_archives(spark, warcs), "records")
+        broken = rows.where("reason is not null").first()
+        if broken:
+            raise ArchiveError(f"{broken['file']} at {broken['offset']}: {broken['reason']}")
+        return kept(rows).drop("file", "offset", "reason")
