@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import fixtures, storage
-from folio.functions.text import ANSWERING, FIGURE_QUERY, INTENT, NAVIGATION, STOP_WORDS, TOKEN, host, terms
+from folio.functions.text import ANSWERING, CAPTION, FIGURE_QUERY, INTENT, LABEL, NAVIGATION, STOP_WORDS, TOKEN, host, terms
 from folio.operators import answer, captions, containment, graph, images, outline, pages, search
 from folio.plans import engine, index, store
 
@@ -98,9 +98,9 @@ _BM25 = _bm25(_RANGES, fixtures.QUESTIONS)
 _CAPTIONS = (
     fixtures.PAGED_MD
     + r""",
-caps AS (SELECT doc_id, page, unnest(regexp_extract_all(md, '((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?[.:]\s*[^\n]{5,120})', 1, 'i')) AS cap, generate_subscripts(regexp_extract_all(md, '((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?[.:]\s*[^\n]{5,120})', 1, 'i'), 1) - 1 AS cap_pos FROM paged_md),
-labelled AS (SELECT doc_id, page, cap_pos::BIGINT AS cap_pos, regexp_extract(trim(cap), '^((?:Fig(?:ure)?|Table)\.?\s*\d+[a-z]?)', 1, 'i') AS label, trim(cap) AS full_caption FROM caps),
-captions AS (SELECT *, regexp_replace(lower(label), '[.\s]', '', 'g') AS normalized FROM labelled)"""
+caps AS (SELECT doc_id, page, unnest(regexp_extract_all(md, 'CAPTION_', 1, 'i')) AS cap, generate_subscripts(regexp_extract_all(md, 'CAPTION_', 1, 'i'), 1) - 1 AS cap_pos FROM paged_md),
+labelled AS (SELECT doc_id, page, cap_pos::BIGINT AS cap_pos, regexp_extract(trim(cap), 'LABEL_', 1, 'i') AS label, trim(cap) AS full_caption FROM caps),
+captions AS (SELECT *, regexp_replace(lower(label), '[.\s]', '', 'g') AS normalized FROM labelled)""".replace("CAPTION_", CAPTION.removeprefix("(?iU)")).replace("LABEL_", LABEL.removeprefix("(?iU)"))
 )
 _MATCHED = (
     _CAPTIONS
@@ -159,7 +159,7 @@ entries_of AS (SELECT o.doc_id, o.seq, o.node_id, {_CLEAN.format("title")} AS ti
 #: Captions in the content of sections, and the first section that has one of the figure asked for.
 _NAMED = f"""
 caption_of AS (SELECT doc_id, seq, regexp_replace(lower(unnest({_VISUAL.format("content")})), '[.\\s]', '', 'g') AS cap FROM outline),
-asked_for AS (SELECT query_id, doc_id, query, regexp_extract(lower(query), 'fig(?:ure)?\\.?\\s*(\\d+)', 1) AS number FROM questions),
+asked_for AS (SELECT query_id, doc_id, query, regexp_extract(lower(query), '{FIGURE_QUERY.removeprefix("(?U)")}', 1) AS number FROM questions),
 shortcut AS (SELECT query_id, a.doc_id, min(seq) AS seq FROM asked_for a JOIN caption_of c ON a.doc_id = c.doc_id AND a.number <> '' AND regexp_matches(cap, 'fig(?:ure)?' || number || '\\b') GROUP BY 1, 2)"""
 
 # --- pages and outlines ------------------------------------------------------------
