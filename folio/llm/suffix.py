@@ -90,7 +90,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-_CONTEXT = "key long, context long, n long, doc_id long, text_key long, place long, before int, text binary"
+#: gram and of are those of the anchor that a context, or a part of one, comes from.
+_CONTEXT = "key long, context long, n long, doc_id long, text_key long, place long, before int, text binary, gram long, of long"
 
 
 def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +103,9 @@ def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([x["gram"] for x in wanted], pa.int64()), pa.array([x["context"] for x in wanted], pa.int64()), pa.array([x["n"] for x in wanted], pa.int64()), pa.array([doc] * len(wanted), pa.int64()), pa.array([key] * len(wanted), pa.int64()),
                     pa.array([x["place"] for x in wanted], pa.int64()), pa.array([x["place"] - x["low"] for x in wanted], pa.int32()), pa.array([raw[x["low"] : x["high"] + LENGTH] for x in wanted], pa.binary()),
+                    pa.array([x["gram"] for x in wanted], pa.int64()), pa.array([x["context"] for x in wanted], pa.int64()),
                 ],
-                ["key", "context", "n", "doc_id", "text_key", "place", "before", "text"],
+                ["key", "context", "n", "doc_id", "text_key", "place", "before", "text", "gram", "of"],
             )
 
 
@@ -134,26 +136,46 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, left))
 
 
-def repeats(contexts: list[tuple[int, bytes]]) -> dict[int, list[tuple[int, int]]]:
-    """Of aligned contexts (bytes before the anchor, text): their stretches, from the anchor, that another repeats.
+def groups(contexts: list[tuple[int, bytes]], counts: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """(bytes before the anchor, bytes from it on, members) of every maximal repeat of at least LENGTH bytes among aligned contexts (bytes before the anchor, text).
 
-    Only stretches of at least LENGTH bytes count.
+    An interval of the tree of what follows the anchor holds the members that agree so far and no further. Sorted by what stands before,
+    they form a tree again, whose intervals agree to the left so far and no further; those that all go on alike to the right
+    belong to a deeper interval. A context that counts more than once is a group of its own.
     """
     after = [text[k:] for k, text in contexts]
     before = [text[:k][::-1] for k, text in contexts]
     order = sorted(range(len(contexts)), key=lambda i: after[i])
+    rank = {i: k for k, i in enumerate(order)}
     lcp = [0] + [common(after[a], after[b]) for a, b in zip(order, order[1:], strict=False)]
     deepest = max(map(len, before), default=0)
-    out: dict[int, list[tuple[int, int]]] = {}
+    for i, n in enumerate(counts):
+        if n > 1 and len(contexts[i][1]) >= LENGTH:
+            yield contexts[i][0], len(after[i]), [i]
     for depth, first, last in intervals(lcp):
         if depth + deepest < LENGTH:
             continue
         members = sorted(order[first : last + 1], key=lambda i: before[i])
-        shared = [0] + [common(before[a], before[b]) for a, b in zip(members, members[1:], strict=False)] + [0]
-        for k, i in enumerate(members):
-            left = max(shared[k], shared[k + 1])
+        shared = [0] + [common(before[a], before[b]) for a, b in zip(members, members[1:], strict=False)]
+        found = list(intervals(shared)) if depth + max(shared) >= LENGTH else []
+        if depth >= LENGTH and min(shared[1:]) == 0:
+            found.append((0, 0, len(members) - 1))
+        for left, a, b in found:
             if left + depth >= LENGTH:
-                out.setdefault(i, []).append((-left, depth))
+                own = members[a : b + 1]
+                if b - a < last - first:
+                    places = [rank[i] for i in own]
+                    if min(lcp[min(places) + 1 : max(places) + 1]) > depth:
+                        continue
+                yield left, depth, own
+
+
+def repeats(contexts: list[tuple[int, bytes]]) -> dict[int, list[tuple[int, int]]]:
+    """Of aligned contexts (bytes before the anchor, text): their stretches, from the anchor, in groups()."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for left, depth, members in groups(contexts, [1] * len(contexts)):
+        for i in members:
+            out.setdefault(i, []).append((-left, depth))
     return out
 
 
@@ -223,7 +245,7 @@ def _resolved(parts: DataFrame, span: int) -> DataFrame:
     same = parts.groupBy("key", "context").agg(F.sum("n").alias("all"))
     keys = same.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("all").alias("rows"), F.min("all").alias("least")).where("rows > 1")
     whole = parts.where("n = 1").join(same.where(F.col("all") > 1), ["key", "context"]).select("doc_id", "text_key", (F.col("place") - F.col("before")).alias("begin"), (F.col("place") - F.col("before") + F.octet_length("text")).alias("end"))
-    firsts = parts.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_key", "place", "before", "text")).alias("at"), F.sum("n").alias("n"))
+    firsts = parts.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_key", "place", "before", "text", "gram", "of")).alias("at"), F.sum("n").alias("n"))
     rest = stored(firsts.join(keys.where("kinds > 1 and least = 1"), "key").select("key", "context", "n", "at.*", "kinds"), "contested")
     out = whole.unionByName(_sorted(rest.where(F.col("kinds") <= MOST)))
     crowded = rest.where(F.col("kinds") > MOST)
@@ -235,24 +257,80 @@ def _sorted(contexts: DataFrame) -> DataFrame:
     return own.repartition("key").sortWithinPartitions("key").mapInArrow(_compared, _RANGE)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, begin, end): stretches of bytes of each text that are covered by LENGTH-byte strings found elsewhere too."""
+def _contexts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All anchors; the contexts with their counts; the texts of those that must be compared; and the anchors' grams that too many share."""
     found = stored(docs.mapInArrow(_anchored, _FOUND), "anchors")
     same = stored(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place", "low", "high")).alias("at")), "contexts")
     grams = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-    whole = found.join(same.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc_id", "text_key", F.col("low").alias("begin"), (F.col("high") + LENGTH).alias("end"))
     contested = same.join(grams, "gram").select("gram", "context", "n", "at.*", "kinds")
     wanted = contested.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "context", "n", "place", "low", "high")).alias("wanted"))
     quoted = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_quoted, _CONTEXT)
     kinds = grams.select(F.col("gram").alias("key"), "kinds")
     crowded = stored(kinds.where(F.col("kinds") > MOST), "crowded")
-    quoted = stored(quoted, "quoted")
+    return found, same, stored(quoted, "quoted"), crowded
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, begin, end): stretches of bytes of each text that are covered by LENGTH-byte strings found elsewhere too."""
+    found, same, quoted, crowded = _contexts(docs)
+    whole = found.join(same.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc_id", "text_key", F.col("low").alias("begin"), (F.col("high") + LENGTH).alias("end"))
     out = whole.unionByName(_sorted(quoted.join(crowded, "key", "left_anti")))
     if not crowded.isEmpty():
         out = out.unionByName(_split(quoted.join(crowded, "key", "left_semi"), 128))
     return out
 
 
+_MEMBER = "group long, length long, back long, key long, context long"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of each maximal repeat, how long it is and how far before the anchor it begins."""
+    for own in _grouped(batches):
+        out = []
+        for left, depth, members in groups([(x["before"], x["text"]) for x in own], [x["n"] for x in own]):
+            x = own[members[0]]
+            told = _hash(b"group", x["text"][x["before"] - left : x["before"] + depth])
+            out += [(told, left + depth, left, own[i]["key"], own[i]["context"]) for i in members]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], [c.split()[0] for c in _MEMBER.split(", ")])
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """(group, length, doc_id, begin): every repeat of LENGTH bytes or more that is maximal in the text about an anchor, with all its occurrences.
+
+    group is a hash of the repeated bytes, begin the first byte of an occurrence. A repeat is maximal if its occurrences neither
+    all go on alike to the left nor to the right; one that is longer than the windows of its anchor comes out as a group for
+    each of its anchors, which overlap, and one about a crowded anchor as groups of the parts of its windows. Rows that repeat a
+    doc_id are told apart by their texts; equal rows have their occurrences once. Null ids come as null. The groups are stored and go with the session.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    lone = F.lit(-1).cast("long")
+    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), lone).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    with scratch(spark):
+        found, same, quoted, crowded = _contexts(known)
+        compare = lambda rows: rows.select(*(c.split()[0] for c in _CONTEXT.split(", "))).repartition("key").sortWithinPartitions("key").mapInArrow(_members, _MEMBER)
+        # Contexts of a gram that nothing contests count as they are; their bytes needn't be fetched.
+        sole = same.where("n > 1").join(quoted.select("gram", F.col("of").alias("context")), ["gram", "context"], "left_anti")
+        all_ = sole.select(F.xxhash64("gram", "context").alias("group"), (F.col("at.high") - F.col("at.low") + LENGTH).alias("length"), (F.col("at.place") - F.col("at.low")).alias("back"), "gram", "context")
+        own = compare(quoted.join(crowded, "key", "left_anti"))
+        all_ = all_.unionByName(own.select("group", "length", "back", F.col("key").alias("gram"), "context"))
+        rest, span = quoted.join(crowded, "key", "left_semi"), 128
+        while not rest.isEmpty():
+            parts = stored(rest.mapInArrow(_halved(span), _CONTEXT), "parts")
+            firsts = parts.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_key", "place", "before", "text", "gram", "of")).alias("at"), F.sum("n").alias("n"))
+            kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+            firsts = stored(firsts.join(kinds, "key").select("key", "context", "n", "at.*", "kinds"), "firsts")
+            own = compare(firsts.where(F.col("kinds") <= MOST))
+            all_ = all_.unionByName(own.join(parts.select("key", "context", "gram", "of"), ["key", "context"]).select("group", "length", "back", "gram", F.col("of").alias("context")))
+            rest = parts.join(firsts.where(F.col("kinds") > MOST).select("key").distinct(), "key", "left_semi")
+            span = max(1, span // 2)
+        held = found.join(all_.distinct(), ["gram", "context"])
+        # one occurrence of a group may come by several windows
+        rows = held.groupBy("group", "length", "doc_id", "text_key", (F.col("place") - F.col("back")).alias("begin")).agg(F.count("*").alias("_n"))
+        rows = rows.select("group", "length", F.nullif("doc_id", lone).alias("doc_id"), "begin")
+        return kept(stored(rows, "groups"))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
