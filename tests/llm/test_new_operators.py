@@ -167,21 +167,16 @@ def test_packed_balances_costs():
         out = packing.packed(lengths, capacity)
         pieces = [{"doc_id": i, "start": s, "length": n, "sequence_id": k, "offset": o, "doc_tokens": int(lengths[i]), "ids_crc32": zlib.crc32(np.zeros(n, "<u4").tobytes())} for i, s, n, k, o in out]
         check_pieces(pieces, {i: [0] * n for i, n in enumerate(lengths.tolist())}, capacity)
-    lengths = np.minimum(900, rng.lognormal(4.5, 1, 4000).astype(int) + 1)
-    costs = {}
-    for _, _, n, k, _ in packing.packed(lengths):
-        costs[k] = costs.get(k, 0) + packing.token_cost(n)
-    full = [costs[k] for k in range(int(lengths.sum()) // 1024)]
-    in_turn = np.zeros(len(full))  # the same documents one after another, cut at each 1024
-    room, k = 1024, 0
-    for n in lengths.tolist():
-        while n and k < len(full):
-            part = min(n, room)
-            in_turn[k] += packing.token_cost(part)
-            n, room = n - part, room - part
-            if not room:
-                room, k = 1024, k + 1
-    assert np.std(full) < 0.7 * np.std(in_turn)
+    # Whole items come by descending cost, each to the sequence of least cost that has room for it; then what fits nowhere is cut.
+    lengths = np.minimum(900, rng.lognormal(4.5, 1, 700).astype(int) + 1)
+    out, n = packing.packed(lengths), int(lengths.sum()) // 1024
+    cost, room, whole = [0.0] * n, [1024] * n, [r for r in out if r[2] == lengths[r[0]] and r[3] < n]
+    first_cut = next((k for k, r in enumerate(out) if r[2] < lengths[r[0]]), len(out))
+    for item, _, length, k, _ in out[:first_cut]:
+        assert room[k] >= length and cost[k] == min(c for c, r in zip(cost, room, strict=True) if r >= length)
+        cost[k], room[k] = cost[k] + packing.token_cost(length), room[k] - length
+    assert [int(lengths[r[0]]) for r in out[:first_cut]] == sorted((int(lengths[r[0]]) for r in out[:first_cut]), reverse=True)
+    assert len(whole) > 0.85 * len(lengths)
 
 
 def test_encoder_equals_its_library():
