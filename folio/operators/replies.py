@@ -100,6 +100,7 @@ def asked(prompts: DataFrame, model: Callable, log: str | None = None, timeout:
     down isn't asked for all that is left; its replies are kept and the next call goes on after them.
     """
     spark = prompts.sparkSession
+    storage.shipped(spark)
     log = log or storage.fresh_path(spark, "replies", temporary=True)
     pictures = "images" in prompts.columns
     wanted = prompts.select("query_id", "doc_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "prompt", *(["images"] if pictures else []))

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from folio.storage import shipped
+
 PAGES = "doc_id bigint, page bigint, md string, file string, error string"
 IMAGES = "doc_id bigint, page bigint, img_pos bigint, ext string, b64 string"
 MANIFEST = "doc_id bigint, page bigint, img_pos bigint, file string, bytes bigint, sha256 string"
@@ -233,6 +235,7 @@ def _delete(system: fs.FileSystem, at: str) -> None:
 
 def register(spark: SparkSession) -> None:
     """Makes both formats known, and lets Spark hand filters to them."""
+    shipped(spark)
     spark.dataSource.register(PageSource)
     spark.dataSource.register(ImageSink)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -6,6 +6,8 @@ import atexit
 import logging
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name, temporary=True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per context, so that they need no copy of the repository."""
+    context = spark.sparkContext
+    if not getattr(context, "_folio_shipped", False):
+        package = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="folio-code-")) / "folio.zip"
+        with zipfile.ZipFile(at, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(at))
+        context._folio_shipped = True

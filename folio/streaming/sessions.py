@@ -91,6 +91,7 @@ def chatting(spark: SparkSession, source: str, corpus: engine.Corpus, target: st
 
 def remembering(spark: SparkSession, target: str, timeout: int | None = None, max_files: int | None = None) -> StreamingQuery:
     """Starts the second stream: answers become the history of their sessions; after timeout seconds without a message a session begins anew."""
+    storage.shipped(spark)
     provider = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(provider, "").endswith("RocksDBStateStoreProvider"):  # the only one that holds such state
         spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
