@@ -1,4 +1,4 @@
 """Training-data operators: filtering, deduplication, extraction, decontamination and mixing.
 
-Nothing outside this subpackage imports it; ``folio.llm.queries`` registers its queries.
+Nothing outside this subpackage imports its operators; the containment join uses kernels of ``folio.llm.common``. ``folio.llm.queries`` registers its queries.
 """

@@ -26,6 +26,17 @@ def test_contained_equals_all_pairs(spark):
     assert len(want) > 100 and len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_only_places_that_begin_a_pattern_leave_their_task(spark):
+    """1000 texts of 6000 characters; 20 of them hold the patterns of their document, the others only part of them."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.substring(F.md5(F.concat(i.cast("string"), F.lit("-"), F.col("id").cast("string"))), 1, 5)))
+    texts = spark.range(1000).select((F.col("id") % 20).alias("doc_id"), F.col("id").alias("text_id"), F.concat(text, F.when(F.col("id") < 20, " the pattern here é").otherwise(" the pattern her")).alias("text"))
+    patterns = spark.range(20).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("the pattern here é"), F.lit("re é"))).alias("pattern"))
+    named, keys = containment.met_by_key(patterns, texts)
+    assert named.count() == 40 and 40 <= keys.count() < 100
+    got = containment.contained(patterns, texts).collect()
+    assert sorted((r["doc_id"], r["text_id"]) for r in got) == sorted((k, k) for k in range(20) for _ in range(2))
+
+
 def test_tag_sources_equal_all_pairs(spark):
     rng = random.Random(5)
     name = lambda: "".join(rng.choice("ab1.") for _ in range(rng.randrange(0, 7))) * rng.choice([1, 1, 4])
