@@ -48,7 +48,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(known: np.ndarray, sizes: list[int]):
-    """The keys that each text may hold, of the sizes that occur."""
+    """The keys that each text may hold, of the sizes that occur, in order; without patterns none."""
+    sizes = sizes or [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +58,8 @@ def _met(known: np.ndarray, sizes: list[int]):
                 row, end = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), np.repeat(offsets[1:], np.diff(offsets))
                 for at in range(0, len(data), BLOCK):
                     for n, each in _doubled(data[at : at + BLOCK + MOST - 1]):
+                        if n > sizes[-1]:
+                            break
                         if n not in sizes:
                             continue
                         own = slice(at, at + min(len(each), BLOCK))
@@ -77,7 +80,7 @@ def met_by_key(patterns: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
     asked = patterns.select("doc_id", "pattern").where("pattern <> ''").distinct()
     schema = StructType([*asked.schema.fields, StructField("size", IntegerType()), StructField("key", LongType())])
     named = storage.written(asked.withColumn("_doc", F.xxhash64("doc_id")).mapInArrow(_keyed, schema), "patterns")
-    sizes = [r["size"] for r in named.select("size").distinct().collect()]  # powers of two up to MOST
+    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # powers of two up to MOST
     schema = StructType([*(texts.schema[c] for c in ("doc_id", "text_id")), StructField("key", LongType())])
     rows = texts.where("text <> ''").select("doc_id", "text_id", "text", F.xxhash64("doc_id").alias("_doc"))
     return named, rows.mapInArrow(_met(bloom(named.select("key"), BITS), sizes), schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio import storage
 from folio.operators.containment import contained
 from folio.operators.outline import ROOT_TITLE, parented
 
@@ -156,8 +157,11 @@ def item_images(tree: DataFrame) -> DataFrame:
 
 
 def item_adjacency(tree: DataFrame, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of item_tree(): sections tree_ID, visuals by their ids, tables tbl_ID_N and the formulas of summaries."""
-    own = tree.withColumn("vertex_id", F.concat(F.lit("tree_"), "node_id"))
+    """Vertices and edges of item_tree(): sections tree_ID, visuals by their ids, tables tbl_ID_N and the formulas of summaries.
+
+    Every kind of them reads the tree, so it is stored once; the files go with the session.
+    """
+    own = storage.written(tree, "tree").withColumn("vertex_id", F.concat(F.lit("tree_"), "node_id"))
     parents = own.select("doc_id", F.col("seq").alias("parent_seq"), F.col("vertex_id").alias("source"))
     up = own.where("parent_seq is not null").join(parents, ["doc_id", "parent_seq"]).select(*_edge(F.col("source"), F.col("vertex_id")))
     images = own.select("doc_id", "vertex_id", F.explode("visuals").alias("v")).select("doc_id", "vertex_id", F.col("v.image_id").alias("id"), F.col("v.path").alias("path"))

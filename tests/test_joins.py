@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from folio.operators import captions, containment, images, outline
+from folio import fixtures, storage
+from folio.operators import captions, containment, graph, images, outline
 from folio.plans import engine
 
 
@@ -37,6 +38,18 @@ def test_only_places_that_begin_a_pattern_leave_their_task(spark):
     assert sorted((r["doc_id"], r["text_id"]) for r in got) == sorted((k, k) for k in range(20) for _ in range(2))
 
 
+def test_the_item_graph_plans_its_tree_once(spark):
+    """Of the windows of the tree none is left in the plans over it; formulas are numbered by one."""
+    turns = spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(6)], "conv_id long, turn long, role string, text string")
+    path = storage.fresh_path(spark, "items", temporary=True)
+    turns.write.parquet(f"{path}/conversations.parquet")
+    refs = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ref_no"), F.lit("fig_0").alias("target_node_id"), F.col("text").alias("context"))
+    edges = graph.item_adjacency(graph.item_tree(fixtures.items(spark, path)), refs)[1]
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 1
+    assert {(r["source"], r["target"]) for r in edges.where("edge_type = 'references'").collect()} == {(f"tree_{k:04d}", "fig_0") for k in range(6)}
+    assert containment.contained(refs.select("doc_id", F.lit(None).cast("string").alias("pattern")), refs.select("doc_id", F.col("ref_no").alias("text_id"), F.col("context").alias("text"))).count() == 0
+
+
 def test_tag_sources_equal_all_pairs(spark):
     rng = random.Random(5)
     name = lambda: "".join(rng.choice("ab1.") for _ in range(rng.randrange(0, 7))) * rng.choice([1, 1, 4])
