@@ -65,23 +65,33 @@ def navigation_prompts(questions: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def term_counts(entries: DataFrame) -> DataFrame:
-    """(doc_id, seq, n, term, tf): terms of title, thrice, and text; n is the number of the document's entries."""
-    sized = entries.select("doc_id", "seq", F.count("*").over(Window.partitionBy("doc_id")).alias("n"), terms(F.col("title")).alias("heads"), terms(F.col("content")).alias("words"))
-    each = F.concat(F.array_repeat("heads", TITLE_WEIGHT - 1), F.array("heads", "words"))
-    return sized.select("doc_id", "seq", "n", F.explode(F.flatten(each)).alias("term")).groupBy("doc_id", "seq", "n", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, seq, n, dl, avgdl, term, tf): terms of title, thrice, and text; n is the number of the document's entries, dl how many terms an entry has and avgdl their mean.
+
+    A text becomes many times its bytes in terms, which Spark doesn't foresee when it joins small partitions of texts to one,
+    so texts are dealt to a fixed number of partitions.
+    """
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads, words = terms(F.col("title")), terms(F.col("content"))
+    each = F.flatten(F.concat(F.array_repeat(heads, TITLE_WEIGHT), F.array(words)))
+    doc = Window.partitionBy("doc_id")
+    sized = entries.select("doc_id", "seq", "title", "content").repartition(parts, "doc_id").select("doc_id", "seq", each.alias("each"))
+    sized = sized.withColumn("dl", F.coalesce(F.when(F.col("each").isNotNull(), F.size("each")), F.lit(0)).cast("long"))
+    sized = sized.withColumn("n", F.count("*").over(doc)).withColumn("avgdl", F.sum("dl").over(doc) / F.col("n"))
+    key = ["doc_id", "seq", "n", "dl", "avgdl"]
+    return sized.select(*key, F.explode("each").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
 def weighted_terms(entries: DataFrame) -> DataFrame:
     """(doc_id, seq, term, tf, dl, avgdl, df, idf, first): a term in over half of the entries gets EPSILON of the mean idf.
 
-    Everything is counted within the document, so all windows keep the partitioning by doc_id that the outline has. first
-    marks one row of each term.
+    Everything is counted within the document, so all windows keep the partitioning by doc_id that term_counts() has, and one
+    order of the terms serves them all. first marks one row of each term.
     """
     doc = Window.partitionBy("doc_id")
     term = Window.partitionBy("doc_id", "term")
-    rows = term_counts(entries).withColumn("df", F.count("*").over(term)).withColumn("first", F.row_number().over(term.orderBy("seq")) == 1)
-    rows = rows.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id", "seq"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    rows = rows.withColumn("avgdl", F.sum("tf").over(doc) / F.col("n")).withColumn("mean", F.sum(F.when(F.col("first"), F.col("raw"))).over(doc) / F.count_if("first").over(doc))
+    rows = term_counts(entries).withColumn("first", F.row_number().over(term.orderBy("seq")) == 1).withColumn("df", F.count("*").over(term))
+    rows = rows.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    rows = rows.withColumn("mean", F.sum(F.when(F.col("first"), F.col("raw"))).over(doc) / F.count_if("first").over(doc))
     return rows.select("doc_id", "seq", "term", "tf", "dl", "avgdl", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "first")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.errors import IngestionError
-from folio.operators import captions, graph, images, outline, pages, plugins, replies
+from folio.operators import captions, graph, images, outline, pages, plugins, replies, search
 from folio.plans import engine, store
 from folio.sources import pages as source
 from folio.streaming import ingestion
@@ -123,3 +123,13 @@ def test_graph_of_nothing(spark):
     nothing = outline.parented(outline.nodes(spark.createDataFrame([(1, 0, "")], "doc_id long, line_no long, line string")))
     vertices, edges = graph.adjacency(nothing)
     assert [(r["id"], r["node_type"]) for r in vertices.collect()] == [("document", "document")] and edges.count() == 0
+
+
+def test_terms_are_counted_in_as_many_tasks_as_the_session_asks_for(spark):
+    """Small partitions of texts are not joined to one before their terms come out."""
+    sections = spark.range(400).select((F.col("id") % 40).alias("doc_id"), (F.col("id") / 40).cast("long").alias("seq"), F.lit("Alpha title").alias("title"), F.when(F.col("id") % 40 > 0, F.concat(F.lit("alpha beta word"), (F.col("id") % 7).cast("string"))).alias("content"))
+    got = search.weighted_terms(sections)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    one = {(r["seq"], r["term"]): r for r in got.where("doc_id = 1").collect()}
+    assert one[0, "alpha"]["tf"] == 4 and one[0, "alpha"]["dl"] == 9 and one[0, "alpha"]["avgdl"] == 9.0 and one[0, "alpha"]["df"] == 10
+    assert got.where("doc_id = 0").count() == 0  # their content is null
