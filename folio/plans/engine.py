@@ -50,10 +50,11 @@ def ingest(page_table: DataFrame, image_table: DataFrame, tail_policy: str = "re
     """Pages (doc_id, page, md) and images (doc_id, page, img_pos, b64, b64_len) as a corpus.
 
     Captions are mined and matched with images, put before the text of their pages, and the pages, one text per document,
-    become an outline whose sections claim the images of their pages.
+    become an outline whose sections claim the images of their pages. Sections and images both read the captions, which are
+    stored when this is called; the files go with the session.
     """
     own = pages.normal(page_table)
-    matched = captions.matched(image_table, captions.mined(own))
+    matched = captions.matched(image_table, storage.written(captions.mined(own), "captions"))
     lines = pages.lines(pages.assembled(captions.injected(own, matched)))
     sections = outline.outline(lines, tail_policy)
     return Corpus(sections, matched, images.claimed(sections, matched))

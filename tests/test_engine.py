@@ -133,3 +133,12 @@ def test_terms_are_counted_in_as_many_tasks_as_the_session_asks_for(spark):
     one = {(r["seq"], r["term"]): r for r in got.where("doc_id = 1").collect()}
     assert one[0, "alpha"]["tf"] == 4 and one[0, "alpha"]["dl"] == 9 and one[0, "alpha"]["avgdl"] == 9.0 and one[0, "alpha"]["df"] == 10
     assert got.where("doc_id = 0").count() == 0  # their content is null
+
+
+def test_captions_are_mined_once(spark):
+    paged = spark.createDataFrame([(1, 1, "# A\nFig 1: a first caption\ntext")], "doc_id long, page long, md string")
+    pictures = spark.createDataFrame([(1, 1, 0, "QUJD", 6000)], "doc_id long, page long, img_pos long, b64 string, b64_len long")
+    corpus = engine.ingest(paged, pictures)
+    assert corpus.images.first()["caption"] == "Fig 1: a first caption"
+    for rows in (corpus.sections, corpus.images):
+        assert "{5,120}" not in rows._jdf.queryExecution().optimizedPlan().toString()
