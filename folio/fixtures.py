@@ -43,7 +43,7 @@ raw_lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tur
 
 def paged_markdown(spark: SparkSession, sf_dir: str, headed: bool = False) -> DataFrame:
     """(doc_id, page, md): the text of each turn with a caption line of its own, under a heading if asked for."""
-    plain = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    plain = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z0-9 ]+"), F.lit(0)), "")  # stretches, not each other character
     mark = F.element_at(F.array(F.lit(":"), F.lit("."), F.lit("a:")), (F.col("doc_id") % 3 + 1).cast("int"))
     caption = F.when(F.col("role") == "assistant", F.concat(F.lit("Fig "), F.col("turn") + 1, mark, F.lit(" "), plain)).when(F.col("role") == "user", F.concat(F.lit("Table "), F.col("turn") + 1, F.lit(". "), plain))
     extra = F.when(F.col("doc_id") % 5 == 0, F.lit("config 3: settings here"))
@@ -64,7 +64,7 @@ PAGED_MD, HEADED_MD = _paged(""), _paged(f"{_HEADING}, ")
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, img_idx, b64, b64_len, img_pos): each web page's bytes stand in for an image."""
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("doc_id"), (1 + F.expr("page_id div 100") % 3).alias("page"), F.col("page_id").alias("img_idx"), F.regexp_replace(F.base64(F.col("html").cast("binary")), "[\r\n]", "").alias("b64"))
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("doc_id"), (1 + F.expr("page_id div 100") % 3).alias("page"), F.col("page_id").alias("img_idx"), F.replace(F.replace(F.base64(F.col("html").cast("binary")), F.lit("\r")), F.lit("\n")).alias("b64"))
     return imaging.by_page(rows.withColumn("b64_len", F.length("b64").cast("long")))
 
 

@@ -9,6 +9,9 @@ from folio.functions.text import CAPTION, IMAGE_TAG, LABEL, NO_CAPTION, NO_TAG_C
 from folio.operators.containment import contained
 from folio.operators.pages import latest
 
+#: The letters that a caption begins with, told before the pattern is tried, which is slow where it fails.
+BEGINS = "(?=[FfTt])"
+
 
 def mined(pages: DataFrame, order: str | None = None) -> DataFrame:
     """(doc_id, page, cap_pos, label, full_caption, normalized) of the captions in md.
@@ -16,10 +19,11 @@ def mined(pages: DataFrame, order: str | None = None) -> DataFrame:
     Where a page number repeats in a document, the last part by order that has a caption replaces those before it;
     without order all parts count.
     """
-    parts = pages.select("doc_id", "page", *([order] if order else []), F.regexp_extract_all("md", F.lit(CAPTION), F.lit(1)).alias("found"))
+    parts = pages.select("doc_id", "page", *([order] if order else []), F.regexp_extract_all("md", F.lit(BEGINS + CAPTION), F.lit(1)).alias("found"))
     if order:
         parts = latest(parts.where(F.size("found") > 0), ["doc_id", "page"], order)
-    rows = parts.select("doc_id", "page", F.posexplode("found").alias("cap_pos", "caption"))
+    # An outer explode: for an inner one Spark adds a filter that matches each page's text once more.
+    rows = parts.select("doc_id", "page", F.posexplode_outer("found").alias("cap_pos", "caption")).where("caption is not null")
     rows = rows.select("doc_id", "page", F.col("cap_pos").cast("long").alias("cap_pos"), stripped(F.col("caption")).alias("full_caption"))
     rows = rows.withColumn("label", stripped(F.regexp_extract("full_caption", LABEL, 1)))
     return rows.select("doc_id", "page", "cap_pos", "label", "full_caption", normalized_label(F.col("label")).alias("normalized"))

@@ -64,34 +64,40 @@ def navigation_prompts(questions: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select("query_id", "doc_id", filled(NAVIGATION, query=F.col("query"), entries=F.col("entries")).alias("prompt"))
 
 
-def term_counts(entries: DataFrame) -> DataFrame:
-    """(doc_id, seq, n, dl, avgdl, term, tf): terms of title, thrice, and text; n is the number of the document's entries, dl how many terms an entry has and avgdl their mean.
+def term_counts(entries: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, seq, n, dl, avgdl, mark, term, tf): terms of title, thrice, and text; n is the number of the document's entries, dl how many terms an entry has and avgdl their mean.
 
     A text becomes many times its bytes in terms, which Spark doesn't foresee when it joins small partitions of texts to one,
-    so texts are dealt to a fixed number of partitions.
+    so texts are dealt to a fixed number of partitions. asked terms (doc_id, term) come along as rows of their own, those with mark.
     """
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heads, words = terms(F.col("title")), terms(F.col("content"))
     each = F.flatten(F.concat(F.array_repeat(heads, TITLE_WEIGHT), F.array(words)))
     doc = Window.partitionBy("doc_id")
-    sized = entries.select("doc_id", "seq", "title", "content").repartition(parts, "doc_id").select("doc_id", "seq", each.alias("each"))
-    sized = sized.withColumn("dl", F.coalesce(F.when(F.col("each").isNotNull(), F.size("each")), F.lit(0)).cast("long"))
-    sized = sized.withColumn("n", F.count("*").over(doc)).withColumn("avgdl", F.sum("dl").over(doc) / F.col("n"))
-    key = ["doc_id", "seq", "n", "dl", "avgdl"]
+    texts = entries.select("doc_id", "seq", "title", "content", F.lit(None).cast("array<string>").alias("asked"))
+    if asked is not None:
+        texts = texts.unionByName(asked.groupBy("doc_id").agg(F.collect_set("term").alias("asked")), allowMissingColumns=True)
+    mark = F.col("asked").isNotNull()
+    sized = texts.repartition(parts, "doc_id").select("doc_id", "seq", mark.alias("mark"), F.when(mark, F.col("asked")).otherwise(each).alias("each"))
+    sized = sized.withColumn("dl", F.coalesce(F.when(~F.col("mark") & F.col("each").isNotNull(), F.size("each")), F.lit(0)).cast("long"))
+    sized = sized.withColumn("n", F.count_if(~F.col("mark")).over(doc)).withColumn("avgdl", F.sum("dl").over(doc) / F.nullif("n", F.lit(0)))
+    key = ["doc_id", "seq", "n", "dl", "avgdl", "mark"]
     return sized.select(*key, F.explode("each").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
-def weighted_terms(entries: DataFrame) -> DataFrame:
+def weighted_terms(entries: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(doc_id, seq, term, tf, dl, avgdl, df, idf, first): a term in over half of the entries gets EPSILON of the mean idf.
 
     Everything is counted within the document, so all windows keep the partitioning by doc_id that term_counts() has, and one
-    order of the terms serves them all. first marks one row of each term.
+    order of the terms serves them all. first marks one row of each term. Of a document's terms only those asked (doc_id, term)
+    are returned, if given, weighed among all: the others needn't leave their task to meet no question.
     """
     doc = Window.partitionBy("doc_id")
     term = Window.partitionBy("doc_id", "term")
-    rows = term_counts(entries).withColumn("first", F.row_number().over(term.orderBy("seq")) == 1).withColumn("df", F.count("*").over(term))
-    rows = rows.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    rows = rows.withColumn("mean", F.sum(F.when(F.col("first"), F.col("raw"))).over(doc) / F.count_if("first").over(doc))
+    rows = term_counts(entries, asked).withColumn("first", (F.row_number().over(term.orderBy("mark", "seq")) == 1) & ~F.col("mark")).withColumn("df", F.count_if(~F.col("mark")).over(term))
+    rows = rows.withColumn("wanted", F.max("mark").over(term)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    rows = rows.withColumn("mean", F.sum(F.when(F.col("first"), F.col("raw"))).over(doc) / F.nullif(F.count_if("first").over(doc), F.lit(0))).where("not mark")
+    rows = rows if asked is None else rows.where("wanted")
     return rows.select("doc_id", "seq", "term", "tf", "dl", "avgdl", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "first")
 
 
@@ -103,7 +109,7 @@ def term_weights(entries: DataFrame) -> DataFrame:
 def bm25(questions: DataFrame, entries: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, seq, score) of the entries that share a term with the question, rounded to six places; postings are weighted_terms() that are stored."""
     asked = questions.select("query_id", "doc_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("qtf"))
-    met = asked.join(weighted_terms(entries) if postings is None else postings, ["doc_id", "term"])
+    met = asked.join(weighted_terms(entries, asked.select("doc_id", "term")) if postings is None else postings, ["doc_id", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(part), 6).alias("score"))
 

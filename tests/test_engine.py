@@ -142,3 +142,22 @@ def test_captions_are_mined_once(spark):
     assert corpus.images.first()["caption"] == "Fig 1: a first caption"
     for rows in (corpus.sections, corpus.images):
         assert "{5,120}" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_page_is_searched_for_captions_once(spark, tmp_path):
+    """An inner explode brings a filter that matches the text again; each caption begins with a letter that is told first."""
+    texts = ["x fIG 1: a first caption\ntable 2. of things fig 3: another\nFig 4: no", "none", None, "Fıg 5: without a dot\nTABLE\n\n6a: on two lines, Table 7 - no"]
+    spark.createDataFrame([(1, k, x) for k, x in enumerate(texts)], "doc_id long, page long, md string").write.parquet(str(tmp_path / "pages"))
+    got = captions.mined(spark.read.parquet(str(tmp_path / "pages")))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("{5,120}") == 1
+    assert sorted((r["page"], r["cap_pos"], r["full_caption"]) for r in got.collect()) == [(0, 0, "fIG 1: a first caption"), (0, 1, "table 2. of things fig 3: another"), (3, 0, "Fıg 5: without a dot"), (3, 1, "TABLE\n\n6a: on two lines, Table 7 - no")]
+
+
+def test_terms_not_asked_for_stay_in_their_task(spark):
+    sections = spark.createDataFrame([(1, 0, "Alpha", "beta beta gamma"), (1, 1, "Delta", "beta epsilon"), (1, 2, "", None), (2, 0, "Beta", "")], "doc_id long, seq long, title string, content string")
+    asked = spark.createDataFrame([(1, "beta"), (1, "beta"), (1, "absent"), (2, "alpha"), (2, "beta"), (3, "beta")], "doc_id long, term string")
+    whole = search.weighted_terms(sections)
+    want = whole.join(asked.distinct(), ["doc_id", "term"], "left_semi").select(*whole.columns)
+    got = search.weighted_terms(sections, asked)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+    assert {r["n"] for r in search.term_counts(sections, asked).where("doc_id = 1 and not mark").collect()} == {3}
