@@ -45,10 +45,14 @@ def matched(images: DataFrame, captions: DataFrame, lookahead: int = 1) -> DataF
     return out.withColumn("caption", F.coalesce("full_caption", F.lit(NO_CAPTION))).withColumn("label", F.coalesce("label", F.lit(""))).withColumn("normalized_label", F.coalesce("normalized", F.lit(""))).drop("full_caption", "normalized")
 
 
+def lines(images: DataFrame) -> DataFrame:
+    """(doc_id, page, lines): the captions of a page's images as lines to put before its text."""
+    return images.where(F.col("caption") != NO_CAPTION).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("img_pos", "caption"))), lambda x: F.concat(F.lit("[Visual Component] Caption: "), x["caption"])), "\n").alias("lines"))
+
+
 def injected(pages: DataFrame, images: DataFrame) -> DataFrame:
     """pages with the captions of their images as lines before the text."""
-    own = images.where(F.col("caption") != NO_CAPTION).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("img_pos", "caption"))), lambda x: F.concat(F.lit("[Visual Component] Caption: "), x["caption"])), "\n").alias("lines"))
-    return pages.join(own, ["doc_id", "page"], "left").withColumn("md", F.concat_ws("\n", "lines", "md")).drop("lines")
+    return pages.join(lines(images), ["doc_id", "page"], "left").withColumn("md", F.concat_ws("\n", "lines", "md")).drop("lines")
 
 
 def visual(text):

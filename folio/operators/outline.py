@@ -11,12 +11,16 @@ from folio.functions.text import HEADING, NO_CAPTION, PAGE_TAG, normalized_label
 ROOT_TITLE = "Document Header / Introduction"
 
 
+def _tagged(lines: DataFrame) -> DataFrame:
+    """Lines with their tag (empty if none), its number and the page of the last tag before them (1 at first)."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = lines.withColumn("tag", F.regexp_extract("line", PAGE_TAG, 1)).withColumn("own", F.expr("try_cast(nullif(tag, '') AS long)"))
+    return rows.withColumn("page", F.coalesce(F.last("own", True).over(order), F.lit(1).cast("long")))
+
+
 def carried(lines: DataFrame) -> DataFrame:
     """Lines with the page of the last tag before them (1 at first); lines with a tag go."""
-    tag = F.regexp_extract("line", PAGE_TAG, 1)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    page = F.coalesce(F.last(F.expr("try_cast(nullif(tag, '') AS long)"), True).over(order), F.lit(1).cast("long"))
-    return lines.withColumn("tag", tag).withColumn("page", page).where("tag = ''").drop("tag")
+    return _tagged(lines).where("tag = ''").drop("tag", "own")
 
 
 def sectioned(lines: DataFrame) -> DataFrame:
@@ -29,21 +33,28 @@ def sectioned(lines: DataFrame) -> DataFrame:
 def nodes(lines: DataFrame) -> DataFrame:
     """(doc_id, seq, node_id, level, title, page_start, page_end0, content) of each section, the root among them.
 
-    page_end0 is the last page seen in a section, markers included; only the root's is used.
+    page_end0 is the last page seen in a section, markers included; only the root's is used. Lines are put into their sections
+    by one order of the document's lines, tags among them, and each section is made from its own lines: nothing is joined, and
+    lines that come by doc_id aren't shuffled.
     """
-    return assembled(lines, sectioned(carried(lines)))
-
-
-def assembled(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    tag = F.expr(f"try_cast(nullif(regexp_extract(line, '{PAGE_TAG.replace(chr(92), chr(92) * 2)}', 1), '') AS long)")
-    heads = parts.where("level > 0").select("doc_id", "seq", "level", "title", F.col("page").alias("page_start"))
-    first_head = parts.where("seq = 1 and level > 0").select("doc_id", F.col("line_no").alias("first_no"))
-    markers = lines.select("doc_id", "line_no", tag.alias("page")).where("page is not null").join(first_head, "doc_id", "left").where("first_no is null or line_no < first_no")
-    root_end = markers.groupBy("doc_id").agg(F.max_by("page", "line_no").alias("root_end"))
-    roots = lines.select("doc_id").distinct().join(root_end, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("level"), F.lit(ROOT_TITLE).alias("title"), F.lit(1).cast("long").alias("page_start"), F.coalesce("root_end", F.lit(1).cast("long")).alias("page_end0"))
-    body = parts.where("level = 0").where(F.col("line").rlike(r"(?U)\S")).groupBy("doc_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    every = roots.unionByName(heads.withColumn("page_end0", F.col("page_start")))
-    return every.join(body, ["doc_id", "seq"], "left").select("doc_id", "seq", F.format_string("%04d", "seq").alias("node_id"), "level", "title", "page_start", "page_end0", F.coalesce("content", F.lit("")).alias("content"))
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    level = F.when(F.col("tag") == "", F.length(F.regexp_extract("line", HEADING, 1))).otherwise(F.lit(0)).cast("long")
+    rows = _tagged(lines).withColumn("level", level)
+    rows = rows.withColumn("seq", F.sum((F.col("level") > 0).cast("long")).over(order)).withColumn("first", F.row_number().over(order) == 1)
+    # A document that begins with a heading has no line of the root, so its first line stands for the root too.
+    rows = rows.withColumn("seq", F.explode(F.when(F.col("first") & (F.col("level") > 0), F.array(F.lit(0).cast("long"), "seq")).otherwise(F.array("seq"))))
+    head, root = (F.col("level") > 0) & (F.col("seq") > 0), F.col("seq") == 0
+    text = F.when((F.col("tag") == "") & (F.col("level") == 0) & F.col("line").rlike(r"(?U)\S"), F.struct("line_no", "line"))
+    made = rows.groupBy("doc_id", "seq").agg(
+        *(F.max(F.when(head, x)).alias(name) for name, x in (("level", F.col("level")), ("title", stripped(F.regexp_extract("line", HEADING, 2))), ("page", F.col("page")))),
+        F.max_by("own", F.when(F.col("own").isNotNull(), F.col("line_no"))).alias("last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda x: x["line"]), "\n").alias("content"),
+    )
+    one = F.lit(1).cast("long")
+    return made.select(
+        "doc_id", "seq", F.format_string("%04d", "seq").alias("node_id"), F.coalesce("level", F.lit(0).cast("long")).alias("level"), F.when(root, F.lit(ROOT_TITLE)).otherwise(F.col("title")).alias("title"),
+        F.when(root, one).otherwise(F.col("page")).alias("page_start"), F.when(root, F.coalesce("last", one)).otherwise(F.col("page")).alias("page_end0"), "content",
+    )
 
 
 def parented(sections: DataFrame) -> DataFrame:

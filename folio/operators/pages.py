@@ -34,10 +34,23 @@ def _parsed(json: Column, kind: str) -> Column:
     return F.coalesce(F.when(F.get(one, F.lit(0))["page"].isNotNull(), one), F.flatten(many))
 
 
-def assembled(pages: DataFrame) -> DataFrame:
-    """(doc_id, markdown): pages in order, each after its marker."""
+def assembled(pages: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(doc_id, markdown): pages in order, each after its marker; before (doc_id, page, lines), one row a page, goes before the text of its page.
+
+    Documents are dealt to a fixed number of partitions: texts become many lines, which Spark doesn't foresee when it joins
+    small partitions to one, and what follows by doc_id stays in them. The lines to put before travel as rows of their own, so
+    texts are neither joined nor sent once more.
+    """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select("doc_id", "page", "md")
+    if before is not None:
+        rows = rows.withColumn("text", F.lit(True)).unionByName(before.where("doc_id is not null and page is not null").select("doc_id", "page", "lines", F.lit(False).alias("text")), allowMissingColumns=True)
+    rows = rows.repartition(parts, "doc_id")
+    if before is not None:
+        rows = rows.withColumn("lines", F.max("lines").over(Window.partitionBy("doc_id", "page"))).where("text").withColumn("md", F.concat_ws("\n", "lines", "md"))
     part = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), "md")
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("md")))), lambda x: x["md"]), "\n").alias("markdown"))
+    rows = rows.select("doc_id", F.struct("page", part.alias("md")).alias("part"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["md"]), "\n").alias("markdown"))
 
 
 def split(documents: DataFrame) -> DataFrame:

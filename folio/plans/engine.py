@@ -55,7 +55,7 @@ def ingest(page_table: DataFrame, image_table: DataFrame, tail_policy: str = "re
     """
     own = pages.normal(page_table)
     matched = captions.matched(image_table, storage.written(captions.mined(own), "captions"))
-    lines = pages.lines(pages.assembled(captions.injected(own, matched)))
+    lines = pages.lines(pages.assembled(own, captions.lines(matched)))
     sections = outline.outline(lines, tail_policy)
     return Corpus(sections, matched, images.claimed(sections, matched))
 

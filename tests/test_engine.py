@@ -161,3 +161,24 @@ def test_terms_not_asked_for_stay_in_their_task(spark):
     got = search.weighted_terms(sections, asked)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
     assert {r["n"] for r in search.term_counts(sections, asked).where("doc_id = 1 and not mark").collect()} == {3}
+
+
+def test_an_outline_takes_one_shuffle_of_its_pages(spark, tmp_path):
+    """From pages to sections texts are dealt to a fixed number of tasks by document once, and not joined."""
+    table = [(1, 2, "body\n# A [[PAGE_9]]\n"), (1, 1, "# First\n \none"), (1, 1, "twice"), (2, 1, "only a body"), (3, 4, "")]
+    spark.createDataFrame(table, "doc_id long, page long, md string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([(1, 1, "Fig 1: above"), (2, 9, "Fig 2: no such page"), (None, 1, "x"), (3, 4, "a\nb")], "doc_id long, page long, lines string").write.parquet(str(tmp_path / "before"))
+    own, before = (spark.read.parquet(str(tmp_path / x)) for x in ("pages", "before"))
+    got = {r["doc_id"]: r["markdown"] for r in pages.assembled(own, before).collect()}
+    assert got == {1: "--- Page 1 ---\nFig 1: above\n# First\n \none\n--- Page 1 ---\nFig 1: above\ntwice\n--- Page 2 ---\nbody\n# A [[PAGE_9]]\n", 2: "--- Page 1 ---\nonly a body", 3: "--- Page 4 ---\na\nb\n"}
+    sections = outline.outline(pages.lines(pages.assembled(own, before)))
+    plan = sections._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and sections.rdd.getNumPartitions() == 4
+    rows = sorted((r["doc_id"], r["seq"], r["title"], r["page_start"], r["page_end"], r["content"]) for r in sections.collect())
+    assert rows == [(1, 0, outline.ROOT_TITLE, 1, 1, "Fig 1: above"), (1, 1, "First", 1, 1, "one\nFig 1: above\ntwice\nbody"), (2, 0, outline.ROOT_TITLE, 1, 1, "only a body"), (3, 0, outline.ROOT_TITLE, 1, 4, "a\nb")]
+
+
+def test_a_document_that_begins_with_a_heading_has_a_root(spark):
+    lines = [(1, 0, "# A"), (1, 1, "[[PAGE_7]]"), (1, 2, "text"), (2, 0, "[[PAGE_3]] # no heading"), (2, 1, "[[PAGE_99999999999999999999]]"), (2, 2, "## B")]
+    got = outline.nodes(spark.createDataFrame(lines, "doc_id long, line_no long, line string")).drop("node_id")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, outline.ROOT_TITLE, 1, 1, ""), (1, 1, 1, "A", 1, 1, "text"), (2, 0, 0, outline.ROOT_TITLE, 1, 3, ""), (2, 1, 2, "B", 3, 3, "")]
