@@ -33,6 +33,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 #: Bytes of records that one archive file holds, about.
 ARCHIVE_BYTES = 8 << 20
+#: How archives are zipped. Level 4 of zlib makes pages 4 % longer than the default, 6, in two fifths of the time.
+ZIPPED = {"compression": "gzip", "zlib.compress.level": "FOUR"}
 
 
 class ArchiveError(ValueError):
@@ -235,7 +237,7 @@ def write_arcs(pages: DataFrame, path: str) -> None:
     """Writes pages (page_id, url, html) as gzipped ARC files of either version."""
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    pages.mapInArrow(_filed, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    pages.mapInArrow(_filed, "value string").write.options(**ZIPPED).option("maxRecordsPerFile", 1).text(path)
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[str, Stream]]:
@@ -270,20 +272,20 @@ def _rows(own: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], kind) for k, kind in enumerate(kinds)], ["name", "url", "ip", "date", "type", "block"])
 
 
-_SUMS = "name string, row long, digest string, size long, offset long, reason string"
+_SUMS = "path string, name string, row long, digest string, size long, offset long, reason string"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
         for path, stream in _opened(batch):
             own = []
             for name, r, reason in _records(stream, path):
                 if reason is not None:
-                    own.append((name, None, None, None, r, reason))
+                    own.append((path, name, None, None, None, r, reason))
                 else:
                     payload = split_http(r.block)[1]
-                    own.append((name, row_of(r.block), digest(payload), len(payload), None, None))
+                    own.append((path, name, row_of(r.block), digest(payload), len(payload), None, None))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in _SUMS.split(", ")])
 
 
@@ -302,15 +304,26 @@ def read_arcs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The WARC records of each ARC file, whose revisits come beside it."""
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("name", "url", "ip", "date", "type", "block", "refers_to"))
-        yield _text(*(warc_record(ArcRecord(*arc), name, row_of(arc[-1]), refers) for name, *arc, refers in zip(*columns, strict=True)))
+        for (path, stream), links in zip(_opened(batch), batch.column("links"), strict=True):
+            refers = {x["name"]: x["refers_to"] for x in links.as_py() or ()}
+            own: list[bytes] = []
+            size = 0
+            for name, r, reason in _records(stream, path):
+                if reason is None:
+                    own.append(warc_record(r, name, row_of(r.block), refers.get(name)))
+                    size += len(own[-1])
+                if size > BLOCK:
+                    yield _text(*own)
+                    own, size = [], 0
+            yield _text(*own)
 
 
 def revisits(sums: DataFrame, least: int = 0) -> DataFrame:
-    """(name, refers_to) of the records whose payload, of at least so many bytes, one with a larger row has too: the largest such row."""
+    """(path, name, refers_to) of the records whose payload, of at least so many bytes, one with a larger row has too: the largest such row."""
     shared = sums.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("row").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return sums.join(shared, ["digest", "size"]).where("row < refers_to").select("name", "refers_to")
+    return sums.join(shared, ["digest", "size"]).where("row < refers_to").select("path", "name", "refers_to")
 
 
 def convert_arcs(spark: SparkSession, source: str, path: str, least: int = 0) -> DataFrame:
@@ -327,8 +340,10 @@ def convert_arcs(spark: SparkSession, source: str, path: str, least: int = 0) ->
         good = sums.where("reason is null")
         size = good.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
         each = (size["b"] or 0) / max(size["n"], 1) + 600
-        records = read_arcs(spark, source).join(revisits(good, least), "name", "left").mapInArrow(_converted, "value string")
-        records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
+        # Files travel zipped to the revisits of their records; the records themselves are never shuffled.
+        links = revisits(good, least).groupBy("path").agg(F.collect_list(F.struct("name", "refers_to")).alias("links"))
+        records = _files(spark, source).join(links.hint("shuffle_hash"), "path", "left").select("path", "content", "links").mapInArrow(_converted, "value string")
+        records.write.option("lineSep", END.decode()).options(**ZIPPED).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / each))).text(path)
         return kept(stored(sums.where("reason is not null").select("name", "offset", "reason"), "quarantine"))
 
 

@@ -1,6 +1,7 @@
 """Archives that are cut, broken, mixed or zipped record by record: what can be read counts, the rest is told."""
 
 import gzip
+import random
 
 import pytest
 
@@ -58,6 +59,32 @@ def test_broken_warcs_are_told(spark, tmp_path):
     assert sorted(r["page_id"] for r in rows if not r["reason"]) == sorted([100, 101, 102, 100, 101, 103])
 
 
+def shuffled(spark):
+    """Bytes that the session's stages wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_records_are_converted_where_their_file_is_read(spark, tmp_path):
+    (tmp_path / "arcs").mkdir()
+    pages = [random.Random(j // 2).randbytes(1 << 18).hex() for j in range(8)]  # in pairs; half as long when zipped
+    head = "HTTP/1.1 200 OK\r\nX-Row: "
+    for k in range(2):
+        own = [warc.ArcRecord(f"http://h/{j}", "1.2.3.4", "2024", "text/html", f"{head}{j}\r\n\r\n{pages[j]}".encode()) for j in range(k, 8, 2)]
+        (tmp_path / f"arcs/{k}.arc.gz").write_bytes(gzip.compress(warc.arc_bytes(own, 1 + k)))
+    before, most = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if there were many revisits
+    try:
+        assert warc.convert_arcs(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert shuffled(spark) - before < 0.75 * sum(map(len, pages))
+    rows = warc.read_archives(spark, str(tmp_path / "warcs")).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"], r["reason"]) for r in rows} == {j: (1 << 19, None if j % 2 else j + 1, None) for j in range(8)}
+    assert len(rows) == 8
+
+
 def test_records_are_unzipped_as_they_are_read():
     import tracemalloc
 
