@@ -1,8 +1,10 @@
 """Repeat groups: all occurrences of each, maximal where one anchor sees them whole, and what they cover is what op6 removes."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import suffix
 
@@ -62,3 +64,27 @@ def test_groups_have_all_their_occurrences(spark, monkeypatch, most):
 
 def test_groups_of_nothing(spark):
     assert suffix.repeat_groups(spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_rows_of_one_context_are_dealt_to_several_tasks(spark, monkeypatch, adaptive):
+    """False: copies, whose anchors stay in their tasks. True: parts of contexts that agree, which AQE splits."""
+    monkeypatch.setattr(suffix, "MOST", 8)
+    n, passage = 240, "".join(random.Random(5).choices("abcdefgh é\n", k=900))
+    conf = {"adaptive.enabled": adaptive, "adaptive.coalescePartitions.enabled": False, "adaptive.skewJoin.skewedPartitionThresholdInBytes": 100, "adaptive.skewJoin.skewedPartitionFactor": 1.0, "adaptive.advisoryPartitionSizeInBytes": 50, "autoBroadcastJoinThreshold": -1, "files.maxPartitionBytes": 1 << 20}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", str(v).lower())
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").alias("text_key"), F.lit(passage).alias("text")).repartition(6)
+        if adaptive:
+            one = [F.lit(1).cast(kind).alias(c) for c, kind in (x.split() for x in suffix._CONTEXT.split(", ")) if c not in ("doc_id", "text_key", "before", "text")]
+            parts = docs.select("doc_id", "text_key", F.lit(0).alias("before"), F.encode("text", "utf-8").alias("text"), *one)
+            found = suffix._resolved(suffix.stored(parts, "parts"), 1)
+        else:
+            found = suffix.repeated(docs)
+        dealt = Counter(r["task"] for r in found.withColumn("task", F.spark_partition_id()).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert dealt.total() >= n > max(dealt.values())
