@@ -110,7 +110,8 @@ def extracts(questions: DataFrame, found: DataFrame) -> DataFrame:
     Of equals the first; without a shared term the first of all; an empty text if there is none. No model is asked.
     """
     key = ["query_id", "doc_id"]
-    pieces = F.filter(F.transform(F.regexp_extract_all(F.left("content", F.lit(CONTEXT)), F.lit(r"[^\n.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+    # a lambda of one argument: transform() would give F.trim each piece's place as the characters to trim
+    pieces = F.filter(F.transform(F.regexp_extract_all(F.left("content", F.lit(CONTEXT)), F.lit(r"[^\n.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
     rows = questions.select(*key, F.array_distinct(terms(F.col("query"))).alias("asked")).join(found.select(*key, "seq", F.posexplode_outer(pieces).alias("pos", "piece")), key)
     shared = F.size(F.array_intersect("asked", terms(F.coalesce("piece", F.lit("")))))
     best = rows.groupBy(*key).agg(F.min_by("piece", F.struct((-shared).alias("less"), F.col("piece").isNull().alias("none"), "seq", "pos")).alias("answer"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.errors import IngestionError
-from folio.operators import captions, graph, images, outline, pages, plugins, replies, search
+from folio.operators import answer, captions, graph, images, outline, pages, plugins, replies, search
 from folio.plans import engine, store
 from folio.sources import pages as source
 from folio.streaming import ingestion
@@ -37,6 +37,13 @@ def test_ask_extracts_and_attaches(spark, corpus):
     assert via == {1: "bm25", 2: "figure", 3: "bm25", 4: "ranker"}
 
 
+def test_extracts_lose_the_spaces_around_them_and_nothing_else(spark):
+    cases = [("None here. A pear  \nend", "pear", "A pear"), ("0 pears 0", "pears", "0 pears 0"), ("no\n1 plum 1", "plum", "1 plum 1"), ("   \n first ", "absent", "first"), ("", "pear", "")]
+    questions = spark.createDataFrame([(k, 1, x[1]) for k, x in enumerate(cases)], "query_id long, doc_id long, query string")
+    found = spark.createDataFrame([(k, 1, 0, x[0]) for k, x in enumerate(cases)], "query_id long, doc_id long, seq long, content string")
+    assert {r["query_id"]: r["answer"] for r in answer.extracts(questions, found).collect()} == {k: x[2] for k, x in enumerate(cases)}
+
+
 def test_plug_ins(spark, corpus):
     questions = spark.createDataFrame([(1, 1, "terms")], "query_id long, doc_id long, query string")
     ranker = lambda prompt: '{"node_list": ["0003"]}' if '"title": "Results"' in prompt and "Query: terms" in prompt else None
